@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .extract import extract_text
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_digests
 from .packing import pack_documents
+from .quality import quality_verdicts
 from .secrets import secret_digests
+from .toxicity import toxicity_scores
 from .warc import archive_round_trip
 
 
@@ -17,12 +20,19 @@ def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _with_labels(operator) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_extract": _on("pages", extract_text),
         "op4_mix": _on("documents", mix_digests),
+        "op5_toxicity": _with_labels(toxicity_scores),
         "op6_warc": _on("pages", archive_round_trip),
         "op8_pack": _on("documents", lambda docs: pack_documents(docs, ids=False)),
         "op9_secrets": _on("documents", secret_digests),
+        "op10_quality": _with_labels(quality_verdicts),
     }
 
 
