@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .extract import extract_text
+from .minhash import near_duplicates
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_digests
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import secret_digests
 from .toxicity import toxicity_scores
+from .vectors import link_vectors
 from .warc import archive_round_trip
 
 
@@ -27,9 +29,11 @@ def _with_labels(operator) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_extract": _on("pages", extract_text),
+        "op3_vectors": _on("embeddings", link_vectors),
         "op4_mix": _on("documents", mix_digests),
         "op5_toxicity": _with_labels(toxicity_scores),
         "op6_warc": _on("pages", archive_round_trip),
+        "op7_minhash": _on("documents", near_duplicates),
         "op8_pack": _on("documents", lambda docs: pack_documents(docs, ids=False)),
         "op9_secrets": _on("documents", secret_digests),
         "op10_quality": _with_labels(quality_verdicts),
