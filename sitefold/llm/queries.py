@@ -12,6 +12,7 @@ from .mixing import SQL as MIX_SQL
 from .mixing import mix_digests
 from .packing import pack_documents
 from .quality import quality_verdicts
+from .repeats import repeat_digests
 from .secrets import secret_digests
 from .toxicity import toxicity_scores
 from .vectors import link_vectors
@@ -28,6 +29,7 @@ def _with_labels(operator) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeats": _on("documents", repeat_digests),
         "op2_extract": _on("pages", extract_text),
         "op3_vectors": _on("embeddings", link_vectors),
         "op4_mix": _on("documents", mix_digests),
