@@ -29,7 +29,7 @@ from .textvec import in_chunks, mixed, powers, rolling, span_hash
 
 LENGTH, SHARE = 200, 4  # minimizers have length / SHARE bytes
 SEGMENT = 8 << 20  # longer texts are cut, with an overlap of length - 1
-GROUP_CONTEXTS, TASK_BYTES = 3000, 2 << 20
+GROUP_CONTEXTS, TASK_BYTES, CHUNK = 3000, 1 << 20, 1 << 19
 FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 20
 
 
@@ -146,7 +146,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], length: int):
     """Rows, their texts, and what to add to places in them: a text beyond ``SEGMENT`` comes in parts that overlap by length - 1."""
     for batch in batches:
         texts = batch.column("bytes").to_pylist()
-        for a, b in in_chunks(texts):
+        for a, b in in_chunks(texts, CHUNK):
             long = [i for i in range(a, b) if len(texts[i]) > SEGMENT]
             yield batch.slice(a, b - a), [b"" if i in long else texts[i] for i in range(a, b)], 0
             for i in long:

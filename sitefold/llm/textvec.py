@@ -22,7 +22,7 @@ _kept = _Kept()
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n + 1 powers of the multiplier and of its inverse."""
-    bits = max(22, (n + 1).bit_length())
+    bits = max(20, (n + 1).bit_length())
     if bits not in _kept:
         out = []
         for q in (_Q, _QI):
@@ -96,7 +96,7 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return texts, hashes
 
 
-def in_chunks(texts: list, limit: int = 1 << 21):
+def in_chunks(texts: list, limit: int = 1 << 20):
     """(from, to) of runs of texts of about ``limit`` characters."""
     a = held = 0
     for b, t in enumerate(texts, 1):
