@@ -39,6 +39,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under column names that no operator uses, and the new name of each column."""
+    names = {c: f"in_{i}_" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def restored(names: dict[str, str], but: tuple[str, ...] = ()) -> list[Column]:
+    """The sheltered columns under their own names."""
+    return [F.col(n).alias(c) for c, n in names.items() if c not in but]
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, ordered_sum, staged, text_of
+from .common import WORD, n_words, ordered_sum, restored, sheltered, staged, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -117,7 +117,13 @@ def mix_documents(
     (equal rows may share the last, partial draw in either order). An empty table gives an empty
     one. Columns that clash with the added ones are replaced.
     """
-    keep = [c for c in docs.columns if c not in _ADDED]
+    rows, names = sheltered(docs)
+    mixed = _mixed(rows, names[text], names[source], names[doc_id], weights, share, most, seed)
+    return mixed.select(*restored(names, _ADDED), *_ADDED)
+
+
+def _mixed(docs: DataFrame, text: str, source: str, doc_id: str, weights, share: float, most: int, seed: str) -> DataFrame:
+    keep = docs.columns
     id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     sized = docs.select(*keep, n_words(text_of(text)).alias("size"), *_key(source)).withColumn("h_", _number(F.concat_ws(":", F.lit(seed), id_text)))
     light = staged(sized.select(*SOURCE, "h_", "size"), "sizes")
@@ -153,15 +159,19 @@ def mix_documents(
     return out.select(*keep, "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
 
 
-def mixed_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: str = "mix", **options) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix"
+) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row per draw, in shards and shuffled within each."""
-    mixed = mix_documents(docs, text=text, doc_id=doc_id, seed=seed, **options).withColumn("d_", F.explode("draws"))
+    rows, names = sheltered(docs)
+    text, doc_id, n_chars = names[text], names[doc_id], names.get("n_chars")
+    mixed = _mixed(rows, text, names[source], doc_id, weights, share, most, seed).withColumn("d_", F.explode("draws"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("d_.words").cast("int")), "")
     mixed = mixed.withColumn(text, F.when(F.col("d_.words") < F.col("size"), cut).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(F.col("d_.words") < F.col("size"), F.length(text).cast("long")).otherwise(F.col("n_chars")))
+    if n_chars:
+        mixed = mixed.withColumn(n_chars, F.when(F.col("d_.words") < F.col("size"), F.length(text).cast("long")).otherwise(F.col(n_chars)))
     order = F.xxhash64(F.lit(seed), F.col("d_.shard"), F.col("d_.epoch"), F.col(doc_id))
-    return mixed.withColumn("shard_", F.col("d_.shard")).repartition("shard_").sortWithinPartitions("shard_", order).select(*docs.columns)
+    return mixed.withColumn("shard_", F.col("d_.shard")).repartition("shard_").sortWithinPartitions("shard_", order).select(*restored(names))
 
 
 #: The query's rows in DuckDB: targets by water level, draws by the same permuted blocks. Shards do not show in these columns.

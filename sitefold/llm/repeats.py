@@ -257,12 +257,16 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = met.withColumn("task", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(tasks)))
 
     def expand(frame: pd.DataFrame) -> pd.DataFrame:
-        data = np.frombuffer(b"".join(x + b"\0" for x in frame.context), np.uint8).astype(np.uint16) + 1
-        n = np.array([len(x) for x in frame.context])
+        own = frame.groupby(["h", "c"], sort=False)  # a split group's context comes under several keys, and counts once
+        which = own.ngroup().to_numpy()
+        texts = frame.context.to_numpy()[np.unique(which, return_index=True)[1]]
+        data = np.frombuffer(b"".join(x + b"\0" for x in texts), np.uint8).astype(np.uint16) + 1
+        n = np.array([len(x) for x in texts])
         at = np.cumsum(n + 1) - n - 1
         data[at + n] = 0
         again = repeated_starts(data, length)
         marks = np.concatenate([[0], np.cumsum(again)])
+        at = at[which]
         rows = []
         for h, c, a, k, low, high, p in zip(frame.h, frame.c, frame.ahead, frame["count"], frame.low, frame.high, at, strict=True):
             first, last = max(0, a - high), min(k - 1, a - low)  # starts within the context

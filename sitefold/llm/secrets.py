@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import restored, sheltered, staged, text_of
 
 _any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 KEYWORDS = "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _any_case("api") + "_?" + _any_case("key")
@@ -110,12 +110,14 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
     """``docs`` with each maximal run of overlapping spans replaced by ``<SECRET>``; every row stays.
 
-    ``n_chars``, if there, is counted anew. A null text stays null.
+    ``n_chars``, if there, is counted anew where a text changes. A null text stays null.
     """
-    marked = find_secrets(docs.withColumn("text_", F.col(text)), text=text, **options)
+    rows, names = sheltered(docs)
+    text, n_chars = names[text], names.get("n_chars")
+    marked = find_secrets(rows.withColumn("text_", F.col(text)), text, names[owner], names[repository], max_owners)
 
     def step(state, x):
         """Copies what lies between the last span and this one."""
@@ -127,10 +129,9 @@ def redact_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("spans", start, step)
-    done = marked.withColumn("cut_", cut).withColumn(
-        text, F.when(F.size("spans") == 0, F.col("text_")).otherwise(F.concat(F.array_join("cut_.out", ""), F.substring(F.col("text_"), F.col("cut_.at") + 1, F.length("text_"))))
-    )
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return done.select(*docs.columns)
+    rest = F.concat(F.array_join("cut_.out", ""), F.substring(F.col("text_"), F.col("cut_.at") + 1, F.length("text_")))
+    clean = F.size("spans") == 0
+    done = marked.withColumn("cut_", F.aggregate("spans", start, step)).withColumn(text, F.when(clean, F.col("text_")).otherwise(rest))
+    if n_chars:
+        done = done.withColumn(n_chars, F.when(clean, F.col(n_chars)).otherwise(F.length(text).cast("long")))
+    return done.select(*restored(names))
