@@ -15,11 +15,12 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .textvec import in_slices
 
 RAW = "script|style|title|textarea|noscript|iframe|xmp|noembed|noframes|template|svg|math"
 TOKEN = re.compile(
@@ -209,10 +210,8 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-
-        for batch in batches:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, html, limit=4 << 20):
             texts = [main_text(x) for x in batch.column(html).to_pylist()]
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])

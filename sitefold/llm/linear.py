@@ -7,15 +7,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def known_labels(labels: DataFrame, label: str, allowed: Column | None = None) -> DataFrame:
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(allowed if allowed is not None else F.lit(True))
+    return rows.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
+
+
+def class_sizes(rows: DataFrame) -> dict[int, int]:
+    """Two numbers: the labelled documents of each class."""
+    return {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, allowed: Column | None = None) -> DataFrame:
     """(doc_id, text, label) of about ``bound`` labelled documents, half of each class where there are as many.
 
     Which ones follows from a hash of doc_id. Rows without an id or a label don't count; of several
     labels the largest counts. Only the ids of the sample, at most about ``bound``, are broadcast.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(allowed if allowed is not None else F.lit(True))
-    rows = rows.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    rows = known_labels(labels, label, allowed)
+    counts = class_sizes(rows)
     each = {c: min(n, max(bound // 2, bound - counts.get(1 - c, 0))) for c, n in counts.items()}
     of_all = 1 << 30
     share = F.when(F.col("label") == 1, F.lit(int(of_all * each.get(1, 0) / max(1, counts.get(1, 0))))).otherwise(F.lit(int(of_all * each.get(0, 0) / max(1, counts.get(0, 0)))))

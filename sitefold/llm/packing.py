@@ -14,18 +14,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .textvec import in_chunks, rolling, span_hash
+from .textvec import in_slices, rolling, span_hash
 
 WINDOW, END_ID = 4096, 2
 #: Tokens that a task holds before it packs them; loosest windows are repacked above this padding.
-HELD_TOKENS, LOOSE = 8 << 20, 256
-CACHE = 2_000_000
+HELD_TOKENS, LOOSE = 4 << 20, 256
+CACHE = 1_000_000
 
 
 class OpenWindows:
@@ -213,15 +213,14 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     end = END_ID.to_bytes(4, "little")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(tokenizer or default_tokenizer())
         base, n = TaskContext.get().partitionId() << 40, 0
-        held: list[tuple[object, bytes | None, int]] = []
-        crcs: dict[tuple[int, int], int] = {}
+        held: list[tuple[int | None, bytes, int]] = []
         pieces: list[tuple[int, int, int]] = []
         tokens = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal held, pieces, tokens, n
             rows = []
             for group in pack_pieces(pieces, window):
@@ -233,23 +232,21 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     offset += length
                 n += 1
             held, pieces, tokens = [], [], 0
-            columns = [x.split()[0] for x in PIECE.split(", ")]
-            return pd.DataFrame(rows, columns=columns + ["ids"] * ids).astype({"doc_id": "Int64"})
-
-        for batch in batches:
-            texts = [t.encode() for t in batch[text]]
-            for a, b in in_chunks(texts):
-                all_ids, first = encode(texts[a:b])
-                data, first = all_ids.tobytes(), first.tolist()
-                for doc, i, j in zip(batch[doc_id].iloc[a:b], first, first[1:], strict=False):
-                    total = j - i + 1
-                    pieces += [(len(held), s, min(window, total - s)) for s in range(0, total, window)]
-                    held.append((None if pd.isna(doc) else int(doc), data[4 * i : 4 * j] + end, total))
-                    tokens += total
-                if tokens >= HELD_TOKENS:
-                    yield flush()
+            names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * ids
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+        for batch in in_slices(batches, text):
+            all_ids, first = encode([t.encode() for t in batch.column(text).to_pylist()])
+            data, first = all_ids.tobytes(), first.tolist()
+            for doc, i, j in zip(batch.column(doc_id).to_pylist(), first, first[1:], strict=False):
+                total = j - i + 1
+                pieces += [(len(held), s, min(window, total - s)) for s in range(0, total, window)]
+                held.append((doc, data[4 * i : 4 * j] + end, total))
+                tokens += total
+            if tokens >= HELD_TOKENS:
+                yield flush()
         if held:
             yield flush()
 
-    rows = docs.select(F.col(doc_id).cast("string").alias(doc_id), text_of(text).alias(text))
-    return rows.mapInPandas(pack, PIECE + ", ids binary" * ids)
+    rows = docs.select(F.col(doc_id).cast("long").alias(doc_id), text_of(text).alias(text))
+    return rows.mapInArrow(pack, PIECE + ", ids binary" * ids)

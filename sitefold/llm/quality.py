@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 from .linear import calibrate, fit, labelled_sample, sigmoid
-from .textvec import Words, in_chunks, mixed, words
+from .textvec import Words, in_slices, mixed, words
 
 BITS, SAMPLE, SCALE = 16, 4000, 100.0
 LEAST_WORDS, MOST_REPEATED, LEAST_SCORE = 50, 50, 0.5
@@ -93,25 +93,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
     """The model; without labelled rows of both classes it finds every text good."""
 
     def rows(batches):
-        for batch in batches:
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            for a, b in in_chunks(texts):
-                features, _ = _features(texts[a:b])
-                index, value = [], []
-                for d in range(b - a):
-                    i, v = [], []
-                    for (f, first), lost in zip(features, (0, 1, 2), strict=True):
-                        own = f[first[d] : max(first[d], first[d + 1] - lost)]
-                        if len(own):
-                            k, n = np.unique(own, return_counts=True)
-                            i.append(k.astype(np.int32))
-                            v.append((SCALE * n / len(own)).astype(np.float32))
-                    index.append(np.concatenate(i) if i else np.zeros(0, np.int32))
-                    value.append(np.concatenate(v) if v else np.zeros(0, np.float32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))],
-                    names=["doc_id", "label", "index", "value"],
-                )
+        for batch in in_slices(batches, "text"):
+            features, _ = _features([t.encode() for t in batch.column("text").to_pylist()])
+            index, value = [], []
+            for d in range(batch.num_rows):
+                i, v = [], []
+                for (f, first), lost in zip(features, (0, 1, 2), strict=True):
+                    own = f[first[d] : max(first[d], first[d + 1] - lost)]
+                    if len(own):
+                        k, n = np.unique(own, return_counts=True)
+                        i.append(k.astype(np.int32))
+                        v.append((SCALE * n / len(own)).astype(np.float32))
+                index.append(np.concatenate(i) if i else np.zeros(0, np.int32))
+                value.append(np.concatenate(v) if v else np.zeros(0, np.float32))
+            lists = [pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "index", "value"])
 
     sample = labelled_sample(docs, labels, label, bound).withColumn("text", text_of("text"))
     found = sample.mapInArrow(rows, "doc_id long, label int, index array<int>, value array<float>").dropDuplicates(["doc_id"]).toArrow()
@@ -151,16 +147,14 @@ def quality_rules(docs: DataFrame, model: Model, text: str = "text", least_score
     schema = schema.add("base_failed", "boolean").add("score", "double").add("kept", "boolean")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, text):
             texts = [t.encode() for t in batch.column(text).to_pylist()]
-            for a, b in in_chunks(texts):
-                features, w = _features(texts[a:b])
-                s = _statistics(texts[a:b], w)
-                failed = (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED * s["n_words"])
-                score = sigmoid(model.slope * (_scores(features, model.weights) + model.intercept) + model.offset)
-                columns = [batch.column(c).slice(a, b - a) for c in keep]
-                columns += [pa.array(s[c], pa.int64()) for c in STATISTICS]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(score), pa.array(~failed & (score >= least_score))], names=[*keep, *added])
+            features, w = _features(texts)
+            s = _statistics(texts, w)
+            failed = (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED * s["n_words"])
+            score = sigmoid(model.slope * (_scores(features, model.weights) + model.intercept) + model.offset)
+            columns = [batch.column(c) for c in keep] + [pa.array(s[c], pa.int64()) for c in STATISTICS]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(score), pa.array(~failed & (score >= least_score))], names=[*keep, *added])
 
     return docs.select(*keep, text_of(text).alias(text)).mapInArrow(judge, schema)
 

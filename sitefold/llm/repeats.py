@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
-from .textvec import in_chunks, mixed, powers, rolling, span_hash
+from .textvec import in_slices, mixed, powers, rolling, span_hash
 
 LENGTH, SHARE = 200, 4  # minimizers have length / SHARE bytes
 SEGMENT = 8 << 20  # longer texts are cut, with an overlap of length - 1
-GROUP_CONTEXTS, TASK_BYTES, CHUNK = 3000, 1 << 20, 1 << 19
+GROUP_CONTEXTS, TASK_BYTES = 3000, 1 << 20
 FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 20
 
 
@@ -144,14 +144,13 @@ def contexts(texts: list[bytes], length: int):
 
 def _chunks(batches: Iterator[pa.RecordBatch], length: int):
     """Rows, their texts, and what to add to places in them: a text beyond ``SEGMENT`` comes in parts that overlap by length - 1."""
-    for batch in batches:
+    for batch in in_slices(batches, "bytes"):
         texts = batch.column("bytes").to_pylist()
-        for a, b in in_chunks(texts, CHUNK):
-            long = [i for i in range(a, b) if len(texts[i]) > SEGMENT]
-            yield batch.slice(a, b - a), [b"" if i in long else texts[i] for i in range(a, b)], 0
-            for i in long:
-                for at in range(0, len(texts[i]) - length + 1, SEGMENT):
-                    yield batch.slice(i, 1), [texts[i][at : at + SEGMENT + length - 1]], at
+        long = [i for i, t in enumerate(texts) if len(t) > SEGMENT]
+        yield batch, [b"" if i in long else t for i, t in enumerate(texts)], 0
+        for i in long:
+            for at in range(0, len(texts[i]) - length + 1, SEGMENT):
+                yield batch.slice(i, 1), [texts[i][at : at + SEGMENT + length - 1]], at
 
 
 def _bit(h: np.ndarray) -> np.ndarray:
@@ -310,7 +309,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     marks = staged(find_repeats(rows.select("id", "hash", "bytes"), length), "marks")
 
     def cut(batches):
-        for batch in batches:
+        for batch in in_slices(batches, "bytes", limit=4 << 20):
             spans, digests, kept = [], [], []
             for data, starts, counts in zip(*(batch.column(c).to_pylist() for c in ("bytes", "starts", "counts")), strict=True):
                 s = _covered(starts or (), counts or (), length)

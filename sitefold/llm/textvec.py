@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+CHUNK = 1 << 19
 
 _Q = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _QI = pow(_Q, -1, 1 << 64)
@@ -96,13 +101,14 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return texts, hashes
 
 
-def in_chunks(texts: list, limit: int = 1 << 20):
-    """(from, to) of runs of texts of about ``limit`` characters."""
-    a = held = 0
-    for b, t in enumerate(texts, 1):
-        held += len(t)
-        if held >= limit:
-            yield a, b
-            a, held = b, 0
-    if a < len(texts):
-        yield a, len(texts)
+def in_slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about ``limit`` bytes, so that few are Python objects at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), np.int64) for c in columns)
+        after, a = np.cumsum(sizes), 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(after, (after[a - 1] if a else 0) + limit)) + 1
+            yield batch.slice(a, b - a)
+            a = b

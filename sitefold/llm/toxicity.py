@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
-from .linear import fit, labelled_sample, sigmoid
+from .linear import class_sizes, fit, known_labels, labelled_sample, sigmoid
+from .textvec import in_slices
 
 SAMPLE, TERMS, LEAST_SCORE = 20_000, 3000, 0.7
+LEAST_SHARE = 0.7  # of a term's documents, were both classes as large, toxic ones surely are
 WORD = re.compile(r"[^\W_]+")
 FIRST, LONGEST = 4, 24  # shortest and longest beginning that can be a term
 WINDOW = 5
@@ -136,7 +138,7 @@ class Scorer:
         low = text.lower()
         words = WORD.findall(low)
         distinct = set(words)
-        if len(self.clean) > 1_000_000:
+        if len(self.clean) > 400_000:
             self.clean.clear()
         found = []
         for w in distinct - self.clean:
@@ -196,11 +198,11 @@ def learn_terms(sample: DataFrame, most: int = TERMS) -> list[Term]:
 
     def count(batches):
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 for t in _candidates(text):
                     counts[t][label] += 1
-            if len(counts) > 1_000_000:
+            if len(counts) > 300_000:
                 yield table(counts)
                 counts.clear()
         yield table(counts)
@@ -214,8 +216,9 @@ def learn_terms(sample: DataFrame, most: int = TERMS) -> list[Term]:
     n, toxic = totals[0], totals[1] or 0
     if not n or not 0 < toxic < n:
         return []
-    rate = toxic / n
-    odd = sums.where((F.col("toxic") >= 3) & (F.col("toxic") > F.lit(3 * rate) * (F.col("clean") + F.col("toxic"))))
+    # The classes are sampled at their own rates: clean counts are scaled to as many documents as are toxic.
+    scale = toxic / (n - toxic)
+    odd = sums.where((F.col("toxic") >= 3) & (F.col("toxic") > 3 * scale * F.col("clean")))
     rows = odd.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 2)), F.desc("toxic"), "term").limit(8 * most).collect()
     seen = {r["term"]: (r["clean"], r["toxic"]) for r in rows}
     told = {(t[:-1], n) for t, n in seen.items()}
@@ -223,8 +226,8 @@ def learn_terms(sample: DataFrame, most: int = TERMS) -> list[Term]:
     for term, (clean, tox) in seen.items():
         if (term, (clean, tox)) in told:
             continue  # a longer term says the same
-        bound = _lower_bound(tox, tox + clean)
-        if bound > 2 * rate:
+        bound = _lower_bound(tox, tox + scale * clean)
+        if bound > LEAST_SHARE:
             kept.append((bound, Term(term.rstrip(END), term[-1] == END, math.log((tox + 0.5) / (toxic + 1)) - math.log((clean + 0.5) / (n - toxic + 1)))))
     kept.sort(key=lambda x: (-x[0], x[1].text))
     return [t for _, t in kept[:most]]
@@ -239,7 +242,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
 
     def rows(batches):
         scorer = Scorer(Lexicon(lexicon_terms), frozenset())
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             x, near = [], []
             for text in batch.column("text").to_pylist():
                 x.append(scorer.features(text)[0])
@@ -262,13 +265,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
     n, k = x.shape
     w, b = fit(np.tile(np.arange(k), n), (x / scale).ravel(), np.repeat(np.arange(n), k), y, k, steps=600, ridge=1e-3)
     # Classes weighed alike while fitting; the true rate shifts the intercept half way back.
-    prior = y.mean()
+    sizes = class_sizes(known_labels(labels, label, allowed))
+    prior = sizes[1] / (sizes[0] + sizes[1])
     return Model(terms, innocent, (w / scale).tolist(), float(b + 0.5 * math.log(prior / (1 - prior))))
 
 
 def _score_rows(batches, terms, innocent):
     scorer = Scorer(Lexicon(terms), innocent)
-    for batch in batches:
+    for batch in in_slices(batches, "text"):
         x = [scorer.features(t)[0] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -290,7 +294,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep_text:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(Lexicon(terms), innocent), np.array(weights)
-        for batch in batches:
+        for batch in in_slices(batches, "t_"):
             found = [scorer.features(t) for t in batch.column("t_").to_pylist()]
             p = sigmoid(np.array([x for x, _ in found]).reshape(-1, 4) @ w + intercept)
             columns = [batch.column(c) for c in names] + [pa.array([n for _, n in found], pa.int64()), pa.array(p), pa.array((p >= LEAST_SCORE).astype(np.int32))]
