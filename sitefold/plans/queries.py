@@ -84,7 +84,7 @@ ROW = ["site", "bucket", "name"]
 
 
 def predicate(name: str, sql: str, condition, on: Callable[[Tables], DataFrame] = lambda t: t.objects):
-    query(name, f"SELECT site, bucket, name FROM {{f_objects}} WHERE {sql}")(lambda t: on(t).where(condition).select(*ROW))
+    query(name, f"SELECT site, bucket, name FROM {{f_objects}} WHERE {sql}")(lambda t: on(t).where(condition()).select(*ROW))
 
 
 def tagged(t: Tables) -> DataFrame:
@@ -92,20 +92,20 @@ def tagged(t: Tables) -> DataFrame:
     return t.f_objects.withColumn("tags", F.array("bucket", "status", "md_priority"))
 
 
-predicate("pred_eq", "status = 'ERR_UPL'", p.eq("status", "ERR_UPL"))
-predicate("pred_neq", "expires <> TIMESTAMP '1996-01-02 00:00:00'", p.neq("expires", datetime(1996, 1, 2)))
-predicate("pred_gte", "size >= 250000", p.gte("size", 250000))
-predicate("pred_lte", "creation <= TIMESTAMP '1996-01-01 00:00:00'", p.lte("creation", datetime(1996, 1, 1)))
-predicate("pred_start_with", "starts_with(name, 'dir7/object_1')", p.start_with("name", "dir7/object_1"))
-predicate("pred_json_eq", "md_priority = '1-URGENT'", p.json_eq("metadata", "priority", "1-URGENT"))
-predicate("pred_json_neq", "md_priority <> '1-URGENT'", p.json_neq("metadata", "priority", "1-URGENT"))
-predicate("pred_contains", "bucket = 'bucket-1' AND status = 'READY'", p.contains("tags", ["bucket-1", "READY"]), tagged)
-predicate("pred_contained", "bucket IN ('bucket-1', 'bucket-2') AND status = 'READY' AND md_priority = '5-LOW'", p.contained("tags", ["bucket-1", "bucket-2", "READY", "5-LOW"]), tagged)
-predicate("pred_any", "bucket = 'bucket-3' AND md_priority = '5-LOW'", p.any_of("tags", ["bucket-3", "5-LOW"]), tagged)
-predicate("pred_in", "status IN ('UPLOAD', 'DELETING')", p.is_in("status", ["UPLOAD", "DELETING"]))
-predicate("pred_and", "site = 'site-b' AND size <= 50000", p.all_of([p.eq("site", "site-b"), p.lte("size", 50000)]))
-predicate("pred_or", "status = 'ERR_DEL' OR size >= 300000", p.one_of([p.eq("status", "ERR_DEL"), p.gte("size", 300000)]))
-predicate("pred_not", "NOT (site = 'site-a' AND status = 'READY')", p.none_of_all([p.eq("site", SITE), p.eq("status", "READY")]))
+predicate("pred_eq", "status = 'ERR_UPL'", lambda: p.eq("status", "ERR_UPL"))
+predicate("pred_neq", "expires <> TIMESTAMP '1996-01-02 00:00:00'", lambda: p.neq("expires", datetime(1996, 1, 2)))
+predicate("pred_gte", "size >= 250000", lambda: p.gte("size", 250000))
+predicate("pred_lte", "creation <= TIMESTAMP '1996-01-01 00:00:00'", lambda: p.lte("creation", datetime(1996, 1, 1)))
+predicate("pred_start_with", "starts_with(name, 'dir7/object_1')", lambda: p.start_with("name", "dir7/object_1"))
+predicate("pred_json_eq", "md_priority = '1-URGENT'", lambda: p.json_eq("metadata", "priority", "1-URGENT"))
+predicate("pred_json_neq", "md_priority <> '1-URGENT'", lambda: p.json_neq("metadata", "priority", "1-URGENT"))
+predicate("pred_contains", "bucket = 'bucket-1' AND status = 'READY'", lambda: p.contains("tags", ["bucket-1", "READY"]), tagged)
+predicate("pred_contained", "bucket IN ('bucket-1', 'bucket-2') AND status = 'READY' AND md_priority = '5-LOW'", lambda: p.contained("tags", ["bucket-1", "bucket-2", "READY", "5-LOW"]), tagged)
+predicate("pred_any", "bucket = 'bucket-3' AND md_priority = '5-LOW'", lambda: p.any_of("tags", ["bucket-3", "5-LOW"]), tagged)
+predicate("pred_in", "status IN ('UPLOAD', 'DELETING')", lambda: p.is_in("status", ["UPLOAD", "DELETING"]))
+predicate("pred_and", "site = 'site-b' AND size <= 50000", lambda: p.all_of([p.eq("site", "site-b"), p.lte("size", 50000)]))
+predicate("pred_or", "status = 'ERR_DEL' OR size >= 300000", lambda: p.one_of([p.eq("status", "ERR_DEL"), p.gte("size", 300000)]))
+predicate("pred_not", "NOT (site = 'site-a' AND status = 'READY')", lambda: p.none_of_all([p.eq("site", SITE), p.eq("status", "READY")]))
 TREE = {
     "conjunction": "AND",
     "restQueries": [
@@ -114,24 +114,24 @@ TREE = {
         {"conjunction": "NOT", "restQueries": [{"query": "JSON_EQ", "fieldName": "metadata", "avalues": ["priority", "2-HIGH"]}]},
     ],
 }
-predicate("pred_from_json", "starts_with(name, 'dir1/') AND (status IN ('UPLOAD', 'READY') OR size >= 200000) AND NOT md_priority = '2-HIGH'", p.from_json(TREE))
+predicate("pred_from_json", "starts_with(name, 'dir1/') AND (status IN ('UPLOAD', 'READY') OR size >= 200000) AND NOT md_priority = '2-HIGH'", lambda: p.from_json(TREE))
 FILTER = p.ObjectFilter("dir", ("READY", "UPLOAD"), datetime(1998, 1, 1), datetime(1992, 6, 1), datetime(1998, 6, 1), datetime(1993, 1, 1), 300000, 20000, {"priority": "3-MEDIUM"})
 _SIZES = "starts_with(name, 'dir') AND size <= 300000 AND size >= 20000 AND md_priority = '3-MEDIUM'"
 predicate(
     "object_filter",
     _SIZES + " AND status IN ('READY', 'UPLOAD') AND creation <= TIMESTAMP '1998-01-01' AND creation >= TIMESTAMP '1992-06-01' AND expires <= TIMESTAMP '1998-06-01' AND expires >= TIMESTAMP '1993-01-01'",
-    FILTER.on_catalog(),
+    lambda: FILTER.on_catalog(),
 )
 predicate(
     "filter_storage",
     _SIZES + " AND (creation IS NULL OR creation BETWEEN TIMESTAMP '1992-06-01' AND TIMESTAMP '1998-01-01') AND (expires IS NULL OR expires BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1998-06-01')",
-    FILTER.on_storage(),
+    lambda: FILTER.on_storage(),
 )
 _OWNED = "(SELECT bucket FROM {f_ownership} WHERE client = 'client-10' GROUP BY bucket HAVING (bit_or(code) & 1) = 1)"
 query("list_objects", f"SELECT site, bucket, name FROM {{f_objects}} WHERE bucket = 'bucket-1' AND status = 'READY' AND bucket IN {_OWNED}")(
     lambda t: catalog.list_objects(t.objects, t.f_ownership, "client-10", "bucket-1", p.ObjectFilter(statuses=["READY"]).on_catalog(), m.READ).select(*ROW)
 )
-predicate("list_by_prefix", "site = 'site-a' AND bucket = 'bucket-0' AND starts_with(name, 'dir4/') AND status = 'READY'", p.eq("site", SITE) & p.eq("bucket", "bucket-0") & p.start_with("name", "dir4/") & p.eq("status", "READY"))
+predicate("list_by_prefix", "site = 'site-a' AND bucket = 'bucket-0' AND starts_with(name, 'dir4/') AND status = 'READY'", lambda: p.eq("site", SITE) & p.eq("bucket", "bucket-0") & p.start_with("name", "dir4/") & p.eq("status", "READY"))
 _PATHS = "SELECT site, bucket, CASE WHEN size % 3 = 0 THEN name WHEN size % 3 = 1 THEN regexp_replace(name, '/.*', '/') ELSE concat(name, 'x') END AS path FROM {f_objects} WHERE site = 'site-a'"
 query(
     "classify_path",
@@ -144,14 +144,17 @@ query("project_native", "SELECT bucket, name, db_rank AS nstatus, db_event AS ev
 
 # --- changes and merges --------------------------------------------------------------------------
 
-READY_A = p.eq("site", SITE) & p.eq("status", "READY")
-query("count_where", "SELECT count(*) AS n FROM {f_objects} WHERE site = 'site-a' AND status = 'READY'")(lambda t: mutate.count_where(t.f_objects, READY_A))
+def ready_here():
+    return p.eq("site", SITE) & p.eq("status", "READY")
+
+
+query("count_where", "SELECT count(*) AS n FROM {f_objects} WHERE site = 'site-a' AND status = 'READY'")(lambda t: mutate.count_where(t.f_objects, ready_here()))
 query("count_all", "SELECT count(*) AS n FROM {f_objects}")(lambda t: mutate.count_where(t.f_objects))
 query("delete_where", "SELECT site, bucket, name FROM {f_objects} WHERE NOT coalesce(expires <= TIMESTAMP '1996-01-01', false)")(
     lambda t: mutate.delete_where(t.f_objects, p.lte("expires", datetime(1996, 1, 1))).select(*ROW)
 )
 query("update_set", "SELECT site, bucket, name, CASE WHEN site = 'site-a' AND status = 'READY' THEN 'DELETED' ELSE status END AS status, CASE WHEN site = 'site-a' AND status = 'READY' THEN 0 ELSE size END AS size FROM {f_objects}")(
-    lambda t: mutate.update_set(t.f_objects, READY_A, {"status": F.lit("DELETED"), "size": F.lit(0).cast("long")}).select(*ROW, "status", "size")
+    lambda t: mutate.update_set(t.f_objects, ready_here(), {"status": F.lit("DELETED"), "size": F.lit(0).cast("long")}).select(*ROW, "status", "size")
 )
 query("update_add_to_set", "SELECT site, bucket, name, CASE WHEN status = 'READY' THEN concat(bucket, ',', status) ELSE concat(bucket, ',', status, ',READY') END AS tags FROM {f_objects}")(
     lambda t: mutate.add_to_set(t.f_objects.select(*ROW, F.array("bucket", "status").alias("tags")), "tags", F.lit("READY")).select(*ROW, F.array_join("tags", ",").alias("tags"))
