@@ -7,7 +7,6 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sitefold.llm.common import staged
 from sitefold.llm.minhash import near_duplicates

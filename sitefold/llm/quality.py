@@ -13,7 +13,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import text_of
 from .linear import calibrate, fit, labelled_sample, sigmoid

@@ -135,7 +135,9 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
         i, j = _linked(x[a], x[b], least, low == high) if len(a) and len(b) else (np.zeros(0, np.int64),) * 2
         i, j = a[i], b[j]
-        fresh = ~(codes[i, :table] == codes[j, :table]).any(1)  # else an earlier table has counted the pair
+        fresh = np.ones(len(i), bool)
+        for t in range(table):  # else an earlier table has counted the pair
+            fresh &= codes[i, t] != codes[j, t]
         links = np.bincount(i[fresh], n[j[fresh]], len(rep)) + np.bincount(j[fresh], n[i[fresh]], len(rep))
         root = rep[_roots(len(rep), i, j)]
         some = (links > 0) | (root != rep)
