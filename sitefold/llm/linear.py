@@ -41,14 +41,17 @@ def fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, label: np.ndarray
     n = len(label)
     w, b = np.zeros(size), 0.0
     balance = np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, n - label.sum()))
-    first = np.searchsorted(row, np.arange(n + 1))
+    edges = np.unique(np.append(np.searchsorted(row, row[:: 1 << 20]), len(row)))  # whole rows, about a million entries each
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        sums = np.concatenate([[0], np.cumsum(w[index] * value)])
-        z = sums[first[1:]] - sums[first[:-1]] + b
+        g, gb = ridge * w, 0.0
+        z = np.full(n, b)
+        for i, j in zip(edges, edges[1:]):  # noqa: B905
+            z += np.bincount(row[i:j], w[index[i:j]] * value[i:j], n)
         r = (sigmoid(z) - label) * balance
-        g = np.bincount(index, value * r[row], size) + ridge * w
         gb = r.sum()
+        for i, j in zip(edges, edges[1:]):  # noqa: B905
+            g += np.bincount(index[i:j], value[i:j] * r[row[i:j]], size)
         m, mb, v, vb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb, 0.99 * v + 0.01 * g * g, 0.99 * vb + 0.01 * gb * gb
         step = rate * min(1, 4 * (1 - t / (steps + 1)))
         up, down = 1 - 0.9**t, 1 - 0.99**t

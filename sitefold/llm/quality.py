@@ -18,7 +18,7 @@ from .common import text_of
 from .linear import calibrate, fit, labelled_sample, sigmoid
 from .textvec import Words, in_slices, mixed, words
 
-BITS, SAMPLE, SCALE = 16, 4000, 100.0
+BITS, SAMPLE, SCALE = 16, 3000, 100.0
 LEAST_WORDS, MOST_REPEATED, LEAST_SCORE = 50, 50, 0.5
 SYMBOLS = b"#*$%&|<>"
 
@@ -118,7 +118,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
     lists = found.column("index").combine_chunks()
     index, value = lists.flatten().to_numpy(), found.column("value").combine_chunks().flatten().to_numpy()
     n = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(y)), n)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), n)
     aside = np.arange(len(y)) % 4 == 3
     place = np.cumsum(~aside) - 1
     own = ~aside[row]

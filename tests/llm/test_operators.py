@@ -303,7 +303,7 @@ def test_near_duplicates(docs, rows, nothing):
     n = len(rows)
     sets = [shingles(r[1]) for r in rows]
     df = Counter(k for s in sets for k in s)
-    weight = [{k: c * math.log1p(min(n / df[k], 256)) for k, c in s.items()} for s in sets]
+    weight = [{k: c * math.log1p(min(n / df[k], minhash.FLOOR)) for k, c in s.items()} for s in sets]
     parent = list(range(n))
 
     def root(i):
