@@ -30,6 +30,7 @@ LEAST_SHARE = 0.55  # of a term's documents, were both classes as large, toxic o
 WORD = re.compile(r"[^\W_]+")
 FIRST, LONGEST = 4, 24  # shortest and longest beginning that can be a term
 WINDOW = 5
+STATES, KNOWN = 20_000, 150_000  # of the automaton and of words, before a task forgets them
 QUOTES = frozenset("\"“”„«»‘’'`")
 #: Words that report what others said.
 REPORTS = frozenset("said says wrote called quote quoted quotes reported alleged dit écrit cité sagte schrieb zitiert dijo escribió citado".split())
@@ -68,23 +69,26 @@ class Lexicon:
                 node = self.children[node][c]
                 self.room[node] = max(self.room[node], room)
             (self.whole if t.whole else self.start)[node] = k
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: dict[tuple[int, ...], int] = {}
+        self.sets: list[tuple[int, ...]] = []  # node * 4 + edits; of several edits at a node the fewest
         self.steps: list[dict[str, int]] = []
         self.begins: list[int] = []
         self.ends: list[tuple[int, int] | None] = []
-        self.first = self._state({(0, 0)})
+        self.first = self._state({0: 0})
 
-    def _state(self, found: set[tuple[int, int]]) -> int:
-        """The number of the state that holds these pairs and those with letters of the term left out; -1 if none."""
-        todo = list(found)
+    def _state(self, found: dict[int, int]) -> int:
+        """The number of the state with these fewest edits by node, and those with letters of the term left out; -1 if none."""
+        todo = list(found.items())
         while todo:
             node, e = todo.pop()
-            for child in self.children[node].values() if node else ():
-                if e < self.room[child] and (child, e + 1) not in found:
-                    found.add((child, e + 1))
+            for child in self.children[node].values() if node and found[node] == e else ():
+                if e < self.room[child] and found.get(child, 9) > e + 1:
+                    found[child] = e + 1
                     todo.append((child, e + 1))
-        key = frozenset(found)
+        key = tuple(sorted(n * 4 + e for n, e in found.items()))
         if not key:
             return -1
         if key not in self.states:
@@ -92,25 +96,33 @@ class Lexicon:
             self.sets.append(key)
             self.steps.append({})
             weight = lambda k: self.terms[k].weight
-            self.begins.append(max((self.start[n] for n, e in key if e == 0 and self.start[n] >= 0), key=weight, default=-1))
-            ends = [(e, -weight(k), k) for n, e in key if (k := self.whole[n]) >= 0 and e <= _edits(self.terms[k].text, True)]
+            self.begins.append(max((self.start[n] for n, e in found.items() if e == 0 and self.start[n] >= 0), key=weight, default=-1))
+            ends = [(e, -weight(k), k) for n, e in found.items() if (k := self.whole[n]) >= 0 and e <= _edits(self.terms[k].text, True)]
             self.ends.append((min(ends)[2], min(ends)[0]) if ends else None)
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
-        found = set()
-        for node, e in self.sets[state]:
+        found: dict[int, int] = {}
+
+        def reach(node: int, e: int) -> None:
+            if found.get(node, 9) > e:
+                found[node] = e
+
+        for x in self.sets[state]:
+            node, e = x >> 2, x & 3
             for letter, child in self.children[node].items():
                 if letter == c:
-                    found.add((child, e))
+                    reach(child, e)
                 elif node and e < self.room[child]:
-                    found.add((child, e + 1))  # another letter
+                    reach(child, e + 1)  # another letter
             if node and e < self.room[node]:
-                found.add((node, e + 1))  # a letter too many
+                reach(node, e + 1)  # a letter too many
         to = self.steps[state][c] = self._state(found)
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
+        if len(self.sets) > STATES:
+            self._forget()
         state, best = self.first, None
         for c in word:
             to = self.steps[state].get(c)
@@ -138,8 +150,9 @@ class Scorer:
         low = text.lower()
         words = WORD.findall(low)
         distinct = set(words)
-        if len(self.clean) > 400_000:
+        if len(self.clean) + len(self.hits) > KNOWN:
             self.clean.clear()
+            self.hits.clear()
         found = []
         for w in distinct - self.clean:
             if w not in self.hits:
@@ -202,7 +215,7 @@ def learn_terms(sample: DataFrame, most: int = TERMS) -> list[Term]:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 for t in _candidates(text):
                     counts[t][label] += 1
-            if len(counts) > 300_000:
+            if len(counts) > KNOWN:
                 yield table(counts)
                 counts.clear()
         yield table(counts)
