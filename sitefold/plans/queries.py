@@ -592,7 +592,7 @@ query("sanitize_names", f"SELECT page_id, CASE WHEN starts_with(clean, '/') THEN
 query("validate_names", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(length(url), 0) = 0 THEN 'empty' WHEN regexp_matches(url, '[\\x00-\\x1F\\x7F]') THEN 'control' WHEN contains(url, ';') OR contains(url, '<script>') THEN 'tag' WHEN NOT regexp_matches(url, '^[0-9a-zA-Z_./:\\-]+$') THEN 'pattern' END AS reason FROM pages) x WHERE reason IS NOT NULL GROUP BY 1")(
     lambda t: content.validate_names(t.pages, "url", r"^[0-9a-zA-Z_./:\-]{1,1024}$")[1].groupBy("reason").agg(F.count("*").alias("n"))
 )
-query("name_collisions", f"SELECT clean, count(*) AS names, min(url) AS first_name FROM (SELECT DISTINCT url, CASE WHEN starts_with(c, '/') THEN substr(c, 2) ELSE c END AS clean FROM (SELECT url, {_CLEAN} AS c FROM (SELECT regexp_replace(url, '[0-9]+', '') || CASE WHEN page_id % 2 = 0 THEN '#' ELSE '' END AS url FROM pages) y) x) z GROUP BY 1 HAVING count(*) > 1")(
+query("name_collisions", f"SELECT clean, count(*) AS names, min(url) AS first_name FROM (SELECT DISTINCT url, CASE WHEN starts_with(c, '/') THEN substr(c, 2) ELSE c END AS clean FROM (SELECT url, {_CLEAN} AS c FROM (SELECT regexp_replace(url, '[0-9]+', '', 'g') || CASE WHEN page_id % 2 = 0 THEN '#' ELSE '' END AS url FROM pages) y) x) z GROUP BY 1 HAVING count(*) > 1")(
     lambda t: content.name_collisions(t.pages.select(F.concat(F.regexp_replace("url", "[0-9]+", ""), F.when(F.col("page_id") % 2 == 0, "#").otherwise("")).alias("url")), "url")
 )
 query("metric_rollup", "SELECT 'replicator' AS component, bucket_name AS key, lower(action) AS tag, count(*) AS value FROM {f_orders} GROUP BY ALL")(
