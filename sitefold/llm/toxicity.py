@@ -25,7 +25,7 @@ from .common import staged, text_of
 from .linear import class_sizes, fit, known_labels, labelled_sample, sigmoid
 from .textvec import in_slices
 
-SAMPLE, TERMS, LEAST_SCORE = 20_000, 3000, 0.7
+SAMPLE, TERMS, LEAST_SCORE = 12_000, 400, 0.7
 LEAST_SHARE = 0.55  # of a term's documents, were both classes as large, toxic ones surely are
 WORD = re.compile(r"[^\W_]+")
 FIRST, LONGEST = 4, 24  # shortest and longest beginning that can be a term
