@@ -1,10 +1,10 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows (operator 5).
 
 The lexicon is learned from labelled rows: words, and beginnings of words, that toxic documents have
-and others lack. Its terms form a trie. The Levenshtein automata of all terms are intersected with
-the trie as one automaton whose states are sets of (trie node, edits); they are determinized as words
-ask for them, and most words leave it within three letters. A hit is weighed by its context window:
-quotation marks around it and words of reporting lower it. A logistic regression on a document's
+and others lack. Its terms form a trie, which most words leave within three letters. A word that is not in
+it is tried by the Levenshtein automata of those terms that it equals after letters of both are left
+out, as many as the term has edits; no other term can be that near. A hit is weighed by its context
+window: quotation marks around it and words of reporting lower it. A logistic regression on a document's
 weighed hits, fitted on the same rows, gives the score.
 """
 
@@ -18,19 +18,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
 from .linear import class_sizes, fit, known_labels, labelled_sample, sigmoid
-from .textvec import in_slices
+from .textvec import in_slices, powers
 
-SAMPLE, TERMS, LEAST_SCORE = 12_000, 400, 0.7
+SAMPLE, LEAST_SCORE = 20_000, 0.7
 LEAST_SHARE = 0.55  # of a term's documents, were both classes as large, toxic ones surely are
 WORD = re.compile(r"[^\W_]+")
 FIRST, LONGEST = 4, 24  # shortest and longest beginning that can be a term
 WINDOW = 5
-STATES, KNOWN = 20_000, 150_000  # of the automaton and of words, before a task forgets them
+KNOWN = 150_000  # words, before a task forgets them
+FILTER_BITS, FILTER_CELLS = 1 << 27, 1 << 20  # a filter spares words a search that would fail; places looked up at once
 QUOTES = frozenset("\"“”„«»‘’'`")
 #: Words that report what others said.
 REPORTS = frozenset("said says wrote called quote quoted quotes reported alleged dit écrit cité sagte schrieb zitiert dijo escribió citado".split())
@@ -47,94 +48,142 @@ def _edits(term: str, whole: bool) -> int:
     return 0 if not whole or len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+def _left_out(word: str, most: int) -> list[str]:
+    """The word with up to ``most`` (2 at most) letters left out, and other equal strings."""
+    out = [word]
+    if most:
+        out += [word[:i] + word[i + 1 :] for i in range(len(word))]
+    if most > 1:
+        out += [x[:i] + x[i + 1 :] for j in range(1, len(word)) for x in [word[:j] + word[j + 1 :]] for i in range(j)]
+    return out
+
+
+def _left_out_bits(words: list[str], most: int) -> np.ndarray:
+    """The same of words of one length, in a row each, as places in a filter of ``FILTER_BITS`` bits."""
+    n = len(words[0])
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(np.uint64)
+    up, down = (p[: n + 1] for p in powers(n))
+    before = np.zeros((len(words), n + 1), np.uint64)
+    np.cumsum(codes * up[:n], axis=1, out=before[:, 1:])
+    every = before[:, -1:]
+    out = [every, before[:, :-1] + (every - before[:, 1:]) * down[1]]
+    if most > 1:
+        i, j = np.triu_indices(n, 1)
+        out.append(before[:, i] + (before[:, j] - before[:, i + 1]) * down[1] + (every - before[:, j + 1]) * down[2])
+    return (np.concatenate(out, axis=1) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+
+
+class Automaton:
+    """The Levenshtein automaton of a term: a bit for each place in the term, a number for each count of edits."""
+
+    def __init__(self, term: str, most: int):
+        self.most, self.last = most, 1 << len(term)
+        self.letters: dict[str, int] = defaultdict(int)
+        for i, c in enumerate(term):
+            self.letters[c] |= 2 << i
+
+    def edits(self, word: str) -> int | None:
+        """The fewest edits that lead to the word, or None."""
+        now = [(2 << e) - 1 for e in range(self.most + 1)]
+        for c in word:
+            at, before, after = self.letters.get(c, 0), 0, 0
+            for e, x in enumerate(now):
+                # The next letter; a letter too many, another letter, or a letter left out for one edit more.
+                after = x << 1 & at | before | before << 1 | after << 1
+                before, now[e] = x, after
+        return next((e for e, x in enumerate(now) if x & self.last), None)
+
+
 class Lexicon:
-    """The trie of the terms and its automaton. ``match`` gives (term number, edits) of a lower-case word, or None."""
+    """The trie of the terms and their automata. ``match`` gives (term number, edits) of a lower-case word, or None.
+
+    Only automata of terms that are equal to the word after letters of both are left out can accept it.
+    ``matches`` gives the matches of many words, the searches for such terms led by a filter.
+    """
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[int] = [-1]
         self.start: list[int] = [-1]
-        self.room = [0]  # edits that some term below allows
+        self.automata: dict[int, Automaton] = {}
+        self.near: tuple[dict[str, list[int]], ...] = ({}, {}, {})  # by edits, then by what is left of a term
         for k, t in enumerate(terms):
             node = 0
-            room = _edits(t.text, t.whole)
             for c in t.text:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.whole.append(-1)
                     self.start.append(-1)
-                    self.room.append(0)
                 node = self.children[node][c]
-                self.room[node] = max(self.room[node], room)
             (self.whole if t.whole else self.start)[node] = k
-        self._forget()
-
-    def _forget(self) -> None:
-        self.states: dict[tuple[int, ...], int] = {}
-        self.sets: list[tuple[int, ...]] = []  # node * 4 + edits; of several edits at a node the fewest
-        self.steps: list[dict[str, int]] = []
-        self.begins: list[int] = []
-        self.ends: list[tuple[int, int] | None] = []
-        self.first = self._state({0: 0})
-
-    def _state(self, found: dict[int, int]) -> int:
-        """The number of the state with these fewest edits by node, and those with letters of the term left out; -1 if none."""
-        todo = list(found.items())
-        while todo:
-            node, e = todo.pop()
-            for child in self.children[node].values() if node and found[node] == e else ():
-                if e < self.room[child] and found.get(child, 9) > e + 1:
-                    found[child] = e + 1
-                    todo.append((child, e + 1))
-        key = tuple(sorted(n * 4 + e for n, e in found.items()))
-        if not key:
-            return -1
-        if key not in self.states:
-            self.states[key] = len(self.sets)
-            self.sets.append(key)
-            self.steps.append({})
-            weight = lambda k: self.terms[k].weight
-            self.begins.append(max((self.start[n] for n, e in found.items() if e == 0 and self.start[n] >= 0), key=weight, default=-1))
-            ends = [(e, -weight(k), k) for n, e in found.items() if (k := self.whole[n]) >= 0 and e <= _edits(self.terms[k].text, True)]
-            self.ends.append((min(ends)[2], min(ends)[0]) if ends else None)
-        return self.states[key]
-
-    def _step(self, state: int, c: str) -> int:
-        found: dict[int, int] = {}
-
-        def reach(node: int, e: int) -> None:
-            if found.get(node, 9) > e:
-                found[node] = e
-
-        for x in self.sets[state]:
-            node, e = x >> 2, x & 3
-            for letter, child in self.children[node].items():
-                if letter == c:
-                    reach(child, e)
-                elif node and e < self.room[child]:
-                    reach(child, e + 1)  # another letter
-            if node and e < self.room[node]:
-                reach(node, e + 1)  # a letter too many
-        to = self.steps[state][c] = self._state(found)
-        return to
-
-    def match(self, word: str) -> tuple[int, int] | None:
-        if len(self.sets) > STATES:
-            self._forget()
-        state, best = self.first, None
+            room = _edits(t.text, t.whole)
+            if room:
+                self.automata[k] = Automaton(t.text, room)
+                for x in set(_left_out(t.text, room)):
+                    self.near[room].setdefault(x, []).append(k)
+        self.filters = {room: self._filter([terms[k].text for k, a in self.automata.items() if a.most == room], room) for room in (1, 2)}
+        lengths = [[len(terms[k].text) for k, a in self.automata.items() if a.most == room] or [1 << 30] for room in (1, 2)]
+        self.reach = [(min(n) - room, max(n) + room) for room, n in enumerate(lengths, 1)]
+
+    def _misspelled(self, word: str) -> tuple[int, int] | None:
+        """Of the terms that edits lead from to the word, the one with the fewest edits, then the largest weight."""
+        best = None
+        for room, (least, most) in enumerate(self.reach, 1):
+            if not least <= len(word) <= most:
+                continue
+            near, seen = self.near[room], set()
+            for x in filter(near.__contains__, _left_out(word, room)):
+                seen.update(near[x])
+            for k in seen:
+                e = self.automata[k].edits(word) if word[0] == self.terms[k].text[0] else None
+                if e is not None and (best is None or (e, -self.terms[k].weight, k) < best):
+                    best = (e, -self.terms[k].weight, k)
+        return best and (best[2], best[0])
+
+    def _filter(self, words: list[str], room: int) -> np.ndarray:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for w in words:
+            at = _left_out_bits([w], room)[0]
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return bits
+
+    def _near(self, words: list[str]) -> set[str]:
+        """All words that some term may lead to by edits, and few others."""
+        by_length = defaultdict(list)
+        for w in words:
+            by_length[len(w)].append(w)
+        found = set()
+        for n, same in by_length.items():
+            for room, (least, most) in enumerate(self.reach, 1):
+                step = max(1, FILTER_CELLS // (n * n))
+                for i in range(0, len(same) if least <= n <= most else 0, step):
+                    at = _left_out_bits(same[i : i + step], room)
+                    hit = (self.filters[room][at >> 3] >> (at & 7) & 1).any(axis=1)
+                    found.update(same[i + k] for k in np.flatnonzero(hit).tolist())
+        return found
+
+    def _spelled(self, word: str) -> tuple[int, int] | None:
+        """The term that the word is or begins with, by the largest weight."""
+        node, best = 0, None
         for c in word:
-            to = self.steps[state].get(c)
-            state = self._step(state, c) if to is None else to
-            if state < 0:
+            node = self.children[node].get(c, -1)
+            if node < 0:
                 return best
-            if (k := self.begins[state]) >= 0 and (best is None or self.terms[k].weight > self.terms[best[0]].weight):
+            if (k := self.start[node]) >= 0 and (best is None or self.terms[k].weight > self.terms[best[0]].weight):
                 best = (k, 0)
-        end = self.ends[state]
-        if end is None or best is not None and (end[1] > 0 or self.terms[best[0]].weight >= self.terms[end[0]].weight):
-            return best
-        return end
+        if (k := self.whole[node]) >= 0 and (best is None or self.terms[best[0]].weight < self.terms[k].weight):
+            return k, 0
+        return best
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        return self._spelled(word) or self._misspelled(word)
+
+    def matches(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        found = {w: m for w in words if (m := self._spelled(w))}
+        found |= {w: m for w in self._near([w for w in words if w not in found]) if (m := self._misspelled(w))}
+        return found
 
 
 class Scorer:
@@ -145,28 +194,26 @@ class Scorer:
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[int, int]] = {}
 
-    def features(self, text: str) -> tuple[list[float], int]:
-        """(hit strength, strength per word, strongest hit, terms), and the number of hits."""
-        low = text.lower()
-        words = WORD.findall(low)
-        distinct = set(words)
+    def features(self, texts: list[str]) -> list[tuple[list[float], int]]:
+        """Of each text (hit strength, strength per word, strongest hit, terms), and the number of hits."""
+        low = [t.lower() for t in texts]
+        words = [WORD.findall(t) for t in low]
         if len(self.clean) + len(self.hits) > KNOWN:
             self.clean.clear()
             self.hits.clear()
-        found = []
-        for w in distinct - self.clean:
-            if w not in self.hits:
-                m = self.lexicon.match(w)
-                if m is None or m[1] and w in self.innocent:
-                    self.clean.add(w)
-                    continue
-                self.hits[w] = m
-            found.append(w)
-        if not found:
+        new = set().union(*words) - self.clean - self.hits.keys()
+        found = self.lexicon.matches(list(new))
+        self.hits.update((w, m) for w, m in found.items() if not (m[1] and w in self.innocent))
+        self.clean.update(new - self.hits.keys())
+        return [self._of(t, w) for t, w in zip(low, words, strict=True)]
+
+    def _of(self, low: str, words: list[str]) -> tuple[list[float], int]:
+        own = self.hits.keys() & words
+        if not own:
             return [0.0, 0.0, 0.0, 0.0], 0
-        own, strength, most, terms, n = set(found), 0.0, 0.0, set(), 0
+        strength, most, terms, n = 0.0, 0.0, set(), 0
         for i, m in enumerate(WORD.finditer(low)):
-            w = m.group()
+            w = words[i]
             if w not in own:
                 continue
             k, e = self.hits[w]
@@ -179,7 +226,7 @@ class Scorer:
     def context(text: str, a: int, b: int, words: list[str], i: int) -> float:
         """1 for open use, less within quotation marks or beside words of reporting."""
         before, after = text[max(0, a - 40) : a], text[b : b + 40]
-        quoted = any(c in QUOTES for c in before.rpartition("\n")[2]) and any(c in QUOTES for c in after.partition("\n")[0])
+        quoted = not QUOTES.isdisjoint(before.rpartition("\n")[2]) and not QUOTES.isdisjoint(after.partition("\n")[0])
         reported = not REPORTS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
         return (0.4 if quoted else 1.0) * (0.6 if reported else 1.0)
 
@@ -200,14 +247,17 @@ def _candidates(text: str) -> set[str]:
     return out
 
 
-def _lower_bound(hits: float, n: float) -> float:
+def _lower_bound(hits: Column, n: Column) -> Column:
     """Wilson's lower bound of a share."""
     z, p = 1.64, hits / n
-    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def learn_terms(sample: DataFrame, most: int = TERMS) -> list[Term]:
-    """Words and beginnings by how far toxic documents prefer them, from document counts over the sample."""
+def learn_terms(sample: DataFrame) -> list[Term]:
+    """All words and beginnings that toxic documents surely prefer, from document counts over the sample, the surest first.
+
+    Only those come to the driver; the size of the sample bounds how many there are.
+    """
 
     def count(batches):
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -232,18 +282,14 @@ def learn_terms(sample: DataFrame, most: int = TERMS) -> list[Term]:
     # The classes are sampled at their own rates: clean counts are scaled to as many documents as are toxic.
     scale = toxic / (n - toxic)
     odd = sums.where((F.col("toxic") >= 3) & (F.col("toxic") > 3 * scale * F.col("clean")))
-    rows = odd.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 2)), F.desc("toxic"), "term").limit(8 * most).collect()
-    seen = {r["term"]: (r["clean"], r["toxic"]) for r in rows}
-    told = {(t[:-1], n) for t, n in seen.items()}
-    kept = []
-    for term, (clean, tox) in seen.items():
-        if (term, (clean, tox)) in told:
-            continue  # a longer term says the same
-        bound = _lower_bound(tox, tox + scale * clean)
-        if bound > LEAST_SHARE:
-            kept.append((bound, Term(term.rstrip(END), term[-1] == END, math.log((tox + 0.5) / (toxic + 1)) - math.log((clean + 0.5) / (n - toxic + 1)))))
-    kept.sort(key=lambda x: (-x[0], x[1].text))
-    return [t for _, t in kept[:most]]
+    odd = odd.withColumn("bound", _lower_bound(F.col("toxic"), F.col("toxic") + scale * F.col("clean")))
+    odd = staged(odd.where(F.col("bound") > LEAST_SHARE), "terms")
+    # Without terms of which a longer one says the same.
+    longer = odd.select(F.expr("left(term, length(term) - 1)").alias("term"), "clean", "toxic").distinct()
+    rows = odd.join(longer, ["term", "clean", "toxic"], "left_anti").collect()
+    rows.sort(key=lambda r: (-r["bound"], r["term"]))
+    weight = lambda r: math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (n - toxic + 1))
+    return [Term(r["term"].rstrip(END), r["term"][-1] == END, weight(r)) for r in rows]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE, allowed=None) -> Model:
@@ -256,10 +302,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
     def rows(batches):
         scorer = Scorer(Lexicon(lexicon_terms), frozenset())
         for batch in in_slices(batches, "text"):
-            x, near = [], []
-            for text in batch.column("text").to_pylist():
-                x.append(scorer.features(text)[0])
-                near.append([w for w in set(WORD.findall(text.lower())) if w in scorer.hits and scorer.hits[w][1]])
+            texts = batch.column("text").to_pylist()
+            x = [x for x, _ in scorer.features(texts)]
+            near = [[w for w in set(WORD.findall(t.lower())) if w in scorer.hits and scorer.hits[w][1]] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string()))], names=["doc_id", "label", "x", "near"])
 
     found = sample.mapInArrow(rows, "doc_id long, label int, x array<double>, near array<string>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
@@ -286,7 +331,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
 def _score_rows(batches, terms, innocent):
     scorer = Scorer(Lexicon(terms), innocent)
     for batch in in_slices(batches, "text"):
-        x = [scorer.features(t)[0] for t in batch.column("text").to_pylist()]
+        x = [x for x, _ in scorer.features(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
 
@@ -308,7 +353,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep_text:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(Lexicon(terms), innocent), np.array(weights)
         for batch in in_slices(batches, "t_"):
-            found = [scorer.features(t) for t in batch.column("t_").to_pylist()]
+            found = scorer.features(batch.column("t_").to_pylist())
             p = sigmoid(np.array([x for x, _ in found]).reshape(-1, 4) @ w + intercept)
             columns = [batch.column(c) for c in names] + [pa.array([n for _, n in found], pa.int64()), pa.array(p), pa.array((p >= LEAST_SCORE).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])

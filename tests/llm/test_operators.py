@@ -225,6 +225,15 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score_toxicity(nothing, blank).count() == 0
 
 
+def test_every_sure_term_is_kept(spark):
+    word = lambda i: "".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:04d}")
+    rows = [(i, " ".join(word(j) for j in range(i // 5 * 6, i // 5 * 6 + 6)), 1) for i in range(500)]
+    rows += [(500 + i, "plain words of clean texts", 0) for i in range(500)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    terms = {t.text for t in toxicity.learn_terms(sample) if t.whole}
+    assert terms == {word(j) for j in range(600)}
+
+
 def test_automaton_equals_edit_distance():
     def _next(row, i, x, b):
         out = [i]
