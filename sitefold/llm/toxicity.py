@@ -137,7 +137,7 @@ class Lexicon:
             for x in filter(near.__contains__, _left_out(word, room)):
                 seen.update(near[x])
             for k in seen:
-                e = self.automata[k].edits(word) if word[0] == self.terms[k].text[0] else None
+                e = self.automata[k].edits(word)
                 if e is not None and (best is None or (e, -self.terms[k].weight, k) < best):
                     best = (e, -self.terms[k].weight, k)
         return best and (best[2], best[0])

@@ -266,6 +266,33 @@ def test_automaton_equals_edit_distance():
         assert (got is None) == (not want) and (got is None or got[1] == min(want)[0])
 
 
+def test_edits_at_the_first_letter():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    terms = [toxicity.Term(t, True, 1.0) for t in ("idiot", "pathetic", "scum", "worthless")]
+    lexicon = toxicity.Lexicon(terms)
+    assert lexicon.match("1diot") == lexicon.match("diot") == lexicon.match("xidiot") == (0, 1) and lexicon.match("cum") is None
+    assert lexicon.match("thetic") == lexicon.match("xxthetic") == (1, 2)
+    rng, words = random.Random(10), []
+    for _ in range(1500):
+        w = list(rng.choice(terms).text)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(0, len(w)) if rng.random() < 0.6 else 0
+            w[i : i + rng.randrange(2)] = rng.choice(["", "a", "s", "t"])
+        words.append("".join(w))
+    for w in words:
+        want = min(((plain(w, x.text), k) for k, x in enumerate(terms) if plain(w, x.text) <= toxicity._edits(x.text, True)), default=None)
+        got = lexicon.match(w)
+        assert got is None if want is None else (got[1], got[0]) == want
+    assert lexicon.matches(words) == {w: m for w in words if (m := lexicon.match(w))}
+
+
 def test_archives(spark, tmp_path):
     pages = [(5, "http://a\r\nX: y", "same"), (3, "u", "same"), (3, "u", "same"), (9, None, None), (8, "u", ""), (None, "u", "same"), (7, "u", "é" * 100_000), (2, "u", "\r\n\r\nbody"), (4, "u", "lonely")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("hash", F.lit(1))
