@@ -190,18 +190,22 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _split_groups(rows: DataFrame, length: int, limit: int) -> DataFrame:
-    """(h, c, key, low, high): the keys under which contexts meet, and which strings, by distance ``l`` of the minimizer from their start, they meet for."""
+def _split_groups(rows: DataFrame, length: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(h, c, key, low, high): the keys under which at most ``limit`` contexts meet, and which strings, by distance ``l`` of the minimizer from their start, they meet for;
+    and (h, c, from, run): at a single distance the contexts of a key share the whole string, so more of them repeat there and need not meet."""
     k = length // SHARE
-    done = None
+    done = shared_starts = None
     rows = rows.withColumn("key", F.xxhash64("h")).withColumn("low", F.lit(0)).withColumn("high", F.lit(length - k))
     while True:
         sizes = staged(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > limit), "sizes")
         if sizes.isEmpty():
-            return rows if done is None else done.unionByName(rows)
+            return (rows if done is None else done.unionByName(rows)), shared_starts
         rows = rows.join(sizes, "key", "left")
-        small = rows.where(F.col("size").isNull() | (F.col("low") == F.col("high"))).drop("size")
+        small = rows.where(F.col("size").isNull()).drop("size")
         done = small if done is None else done.unionByName(small)
+        # One string, by its own bytes' hash: the contexts of a key differ, so more than one text has it.
+        large = rows.where("size > 1 and low = high").select("h", "c", (F.col("ahead") - F.col("low")).alias("from"), F.lit(1).alias("run"))
+        shared_starts = large if shared_starts is None else shared_starts.unionByName(large)
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))).alias("half")
         rows = rows.where("size is not null and low < high").drop("size")
@@ -252,7 +256,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     distinct = staged(distinct, "contexts")
     size = distinct.agg(F.sum(F.length("context"))).first()[0] or 0
     tasks = max(1, size // TASK_BYTES)
-    met = _split_groups(distinct.drop("n"), length, GROUP_CONTEXTS)
+    met, shared = _split_groups(distinct.drop("n"), length, GROUP_CONTEXTS)
     met = met.withColumn("task", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(tasks)))
 
     def expand(frame: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +283,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = met.groupBy("task").applyInPandas(expand, "h long, c long, from int, run int")
     # A context that occurs twice repeats as a whole, whatever else it shares.
     twice = distinct.where("n > 1").select("h", "c", F.lit(0).alias("from"), F.col("count").alias("run"))
-    parts = staged(parts.unionByName(twice).groupBy("h", "c").agg(F.collect_set(F.struct("from", "run")).alias("runs")), "runs")
+    parts = parts.unionByName(twice) if shared is None else parts.unionByName(twice).unionByName(shared)
+    parts = staged(parts.groupBy("h", "c").agg(F.collect_set(F.struct("from", "run")).alias("runs")), "runs")
     some = found.where("differ").join(parts, ["h", "c"]).select("id", "hash", "start", F.explode("runs").alias("r"))
     some = some.select("id", "hash", (F.col("start") + F.col("r.from")).alias("start"), F.col("r.run").alias("count"))
     marks = whole.unionByName(some).groupBy("id", "hash").agg(F.collect_set(F.struct("start", "count")).alias("m"))

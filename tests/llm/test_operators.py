@@ -83,6 +83,26 @@ def test_repeats_where_groups_are_split_and_texts_cut(docs, rows, monkeypatch):
     assert Counter(map(tuple, repeats.repeat_digests(docs).collect())) == whole
 
 
+def test_a_passage_of_many_texts_makes_no_large_group(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = letters(230)
+    frame = spark.createDataFrame([(i, letters(300) + passage + letters(300)) for i in range(24)], "doc_id long, text string")
+    whole = Counter(map(tuple, repeats.repeat_digests(frame).collect()))
+    sizes, split = [], repeats._split_groups
+
+    def watched(rows, length, limit):
+        out = split(rows, length, limit)
+        met = out[0] if isinstance(out, tuple) else out
+        sizes.extend(r["count"] for r in met.groupBy("key").count().collect())
+        return out
+
+    monkeypatch.setattr(repeats, "_split_groups", watched)
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", 3)
+    assert Counter(map(tuple, repeats.repeat_digests(frame).collect())) == whole
+    assert max(sizes, default=0) <= 3 and all(n >= 230 for _, _, n, *_ in whole)
+
+
 def test_interval_expansion_on_random_strings():
     rng = random.Random(3)
     for _ in range(150):
