@@ -1,7 +1,8 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows (operator 5).
 
 The lexicon is learned from labelled rows: words, and beginnings of words, that toxic documents have
-and others lack. Its terms form a trie, which most words leave within three letters. A word that is not in
+and others lack by more evidence (the log-likelihood ratio of the document counts) than the best of as
+many terms would show by chance. Its terms form a trie, which most words leave within three letters. A word that is not in
 it is tried by the Levenshtein automata of those terms that it equals after letters of both are left
 out, as many as the term has edits; no other term can be that near. A hit is weighed by its context
 window: quotation marks around it and words of reporting lower it. A logistic regression on a document's
@@ -23,16 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_of
 from .linear import class_sizes, fit, known_labels, labelled_sample, sigmoid
-from .textvec import in_slices, powers
+from .textvec import in_slices, mixed, powers, shingles
+from .textvec import words as words_of
 
 SAMPLE, LEAST_SCORE = 20_000, 0.7
-LEAST_SHARE = 0.55  # of a term's documents, were both classes as large, toxic ones surely are
+LEAST_RATIO = 3  # times as frequent in toxic documents as in others
+LEAST_DOCUMENTS = 2  # toxic ones that have a term
 WORD = re.compile(r"[^\W_]+")
-FIRST, LONGEST = 4, 24  # shortest and longest beginning that can be a term
+FIRST, LONGEST = 4, 24  # shortest and longest beginning that can be a term; whole words may be longer
 WINDOW = 5
 KNOWN = 150_000  # words, before a task forgets them
 FILTER_BITS, FILTER_CELLS = 1 << 27, 1 << 20  # a filter spares words a search that would fail; places looked up at once
-QUOTES = frozenset("\"“”„«»‘’'`")
+QUOTES = frozenset("\"“”„«»`")
+#: Apostrophes are quotation marks only at the edge of a word: not in "don't" or "l'homme".
+OPENS, CLOSES = re.compile(r"(?<!\w)['‘’](?=\w)"), re.compile(r"(?<=[\w.,!?])['’](?!\w)")
 #: Words that report what others said.
 REPORTS = frozenset("said says wrote called quote quoted quotes reported alleged dit écrit cité sagte schrieb zitiert dijo escribió citado".split())
 END = "$"
@@ -225,12 +230,22 @@ class Scorer:
     @staticmethod
     def context(text: str, a: int, b: int, words: list[str], i: int) -> float:
         """1 for open use, less within quotation marks or beside words of reporting."""
-        before, after = text[max(0, a - 40) : a], text[b : b + 40]
-        quoted = not QUOTES.isdisjoint(before.rpartition("\n")[2]) and not QUOTES.isdisjoint(after.partition("\n")[0])
+        low, high = max(0, a - 40, text.rfind("\n", 0, a) + 1), min(len(text), b + 40)
+        if (end := text.find("\n", b, high)) >= 0:
+            high = end
+        quoted = not QUOTES.isdisjoint(text[low:a]) and not QUOTES.isdisjoint(text[b:high])
+        if not quoted and ("'" in text[low:a] or "‘" in text[low:a] or "’" in text[low:a]):
+            quoted = _pattern_in(OPENS, text, low, a) and _pattern_in(CLOSES, text, b, high)
         reported = not REPORTS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
         return (0.4 if quoted else 1.0) * (0.6 if reported else 1.0)
 
 
+def _pattern_in(pattern: re.Pattern, text: str, low: int, high: int) -> bool:
+    """Whether it is found between the places, seen with what stands around them."""
+    found = pattern.search(text, low)
+    return found is not None and found.start() < high
+
+
 class Model(NamedTuple):
     terms: list[Term]
     innocent: frozenset[str]
@@ -242,21 +257,44 @@ def _candidates(text: str) -> set[str]:
     out = set()
     for w in set(WORD.findall(text.lower())):
         if len(w) >= FIRST:
-            out.add(w[:LONGEST] + END)
+            out.add(w + END)
             out.update(w[:k] for k in range(FIRST, min(len(w), LONGEST) + 1))
     return out
 
 
-def _lower_bound(hits: Column, n: Column) -> Column:
-    """Wilson's lower bound of a share."""
-    z, p = 1.64, hits / n
-    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def _evidence(a: Column, b: Column, toxic: int, clean: int) -> Column:
+    """The log-likelihood ratio of a term in a of the toxic and b of the clean documents."""
+    x = lambda c: F.when(c > 0, c * F.log(c.cast("double"))).otherwise(F.lit(0.0))
+    fixed = sum(n * math.log(n) for n in (toxic + clean,)) - sum(n * math.log(n) for n in (toxic, clean))
+    return 2 * (x(a) + x(b) + x(toxic - a) + x(clean - b) - x(a + b) - x(toxic + clean - a - b) + fixed)
+
+
+def _independent(sample: DataFrame) -> DataFrame:
+    """Without rows that share one of three minimal hashes of five-word runs with a row of smaller id."""
+
+    def sign(batches):
+        for batch in in_slices(batches, "text"):
+            text, h = shingles(words_of([t.lower().encode() for t in batch.column("text").to_pylist()]), 5)
+            first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else text
+            least = np.zeros((3, batch.num_rows), np.int64)
+            for k in range(3 if len(text) else 0):
+                least[k, text[first]] = np.minimum.reduceat(mixed(h * np.uint64(2 * k + 1)), first).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, least)], names=["doc_id", "f0", "f1", "f2"])
+
+    light = staged(sample.mapInArrow(sign, "doc_id long, f0 long, f1 long, f2 long"), "families")
+    for k in range(3):
+        rest = [f"f{j}" for j in range(k + 1, 3)]
+        light = light.groupBy(f"f{k}").agg(F.min(F.struct("doc_id", *rest)).alias("x")).select("x.*")
+    return sample.join(light.select("doc_id"), "doc_id", "left_semi")
 
 
 def learn_terms(sample: DataFrame) -> list[Term]:
-    """All words and beginnings that toxic documents surely prefer, from document counts over the sample, the surest first.
+    """All words and beginnings that toxic documents prefer beyond chance, the surest first, from document counts over the sample.
 
-    Only those come to the driver; the size of the sample bounds how many there are.
+    Of M terms that chance alone deals out, the best is expected to show evidence of about 2 ln M: a term
+    must have more. Where so few rows are labelled that no term can, the best ones of those that no clean
+    document has are taken. Of near copies one document counts, as the others are no evidence of their own.
+    Only the chosen terms come to the driver; the size of the sample bounds how many there are.
     """
 
     def count(batches):
@@ -274,22 +312,26 @@ def learn_terms(sample: DataFrame) -> list[Term]:
         rows = counts.values()
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in rows], pa.int64()), pa.array([c[1] for c in rows], pa.int64())], names=["term", "clean", "toxic"])
 
+    sample = _independent(sample)
     sums = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = sample.agg(F.count("*"), F.sum("label")).first()
-    n, toxic = totals[0], totals[1] or 0
-    if not n or not 0 < toxic < n:
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
         return []
-    # The classes are sampled at their own rates: clean counts are scaled to as many documents as are toxic.
-    scale = toxic / (n - toxic)
-    odd = sums.where((F.col("toxic") >= 3) & (F.col("toxic") > 3 * scale * F.col("clean")))
-    odd = odd.withColumn("bound", _lower_bound(F.col("toxic"), F.col("toxic") + scale * F.col("clean")))
-    odd = staged(odd.where(F.col("bound") > LEAST_SHARE), "terms")
+    odd = F.col("toxic") * (n - toxic) > LEAST_RATIO * toxic * F.col("clean")
+    seen = staged(sums.where((F.col("toxic") + F.col("clean") > LEAST_DOCUMENTS) | (odd & (F.col("toxic") >= LEAST_DOCUMENTS))), "terms")
+    chance = 2 * math.log(max(2, seen.count()))
+    sure = seen.where(odd & (F.col("toxic") >= LEAST_DOCUMENTS)).withColumn("evidence", _evidence(F.col("toxic"), F.col("clean"), toxic, n - toxic))
+    sure = staged(sure, "evidence")
+    best = sure.where((F.col("clean") == 0) & (F.col("toxic") > LEAST_DOCUMENTS)).agg(F.max("evidence")).first()[0]
+    sure = sure.where(F.col("evidence") >= min(chance, best or chance))
     # Without terms of which a longer one says the same.
-    longer = odd.select(F.expr("left(term, length(term) - 1)").alias("term"), "clean", "toxic").distinct()
-    rows = odd.join(longer, ["term", "clean", "toxic"], "left_anti").collect()
-    rows.sort(key=lambda r: (-r["bound"], r["term"]))
-    weight = lambda r: math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (n - toxic + 1))
-    return [Term(r["term"].rstrip(END), r["term"][-1] == END, weight(r)) for r in rows]
+    longer = sure.select(F.expr("left(term, length(term) - 1)").alias("term"), "clean", "toxic").distinct()
+    rows = sure.join(longer, ["term", "clean", "toxic"], "left_anti").collect()
+    weight = {r["term"]: math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (n - toxic + 1)) for r in rows}
+    # Nor do words need a term of their own that a beginning of theirs catches with about that weight.
+    rows = [r for r in rows if not any(weight.get(r["term"][:k], -math.inf) > weight[r["term"]] - math.log(2) for k in range(FIRST, len(r["term"].rstrip(END)) - 1))]
+    rows.sort(key=lambda r: (-r["evidence"], r["term"]))
+    return [Term(r["term"].rstrip(END), r["term"][-1] == END, weight[r["term"]]) for r in rows]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE, allowed=None) -> Model:
