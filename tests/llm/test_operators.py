@@ -247,11 +247,32 @@ def test_toxicity(spark, docs, nothing):
 
 def test_every_sure_term_is_kept(spark):
     word = lambda i: "".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:04d}")
-    rows = [(i, " ".join(word(j) for j in range(i // 5 * 6, i // 5 * 6 + 6)), 1) for i in range(500)]
-    rows += [(500 + i, "plain words of clean texts", 0) for i in range(500)]
+    rng = random.Random(2)
+    each = [j for j in range(600) for _ in range(25)]
+    rng.shuffle(each)
+    rows = [(i, " ".join(word(j) for j in each[30 * i : 30 * i + 30]), 1) for i in range(500)]
+    rows += [(500 + i, " ".join(f"plain{rng.randrange(40)}" for _ in range(30)), 0) for i in range(500)]
+    # Copies of one toxic text are no evidence for its other words.
+    rows += [(1000 + i, rows[0][1] + " singular", 1) for i in range(60)]
     sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    terms = {t.text for t in toxicity.learn_terms(sample) if t.whole}
-    assert terms == {word(j) for j in range(600)}
+    lexicon = toxicity.Lexicon(toxicity.learn_terms(sample))
+    assert all(lexicon.match(word(j)) for j in range(600))
+    assert lexicon.match("singular") is None and lexicon.match("plain7") is None
+
+
+def test_apostrophes_within_words_quote_nothing():
+    context = toxicity.Scorer.context
+    weight = lambda text: context(text, text.index("idiot"), text.index("idiot") + 5, text.split(), 0)
+    assert weight("i don't care, you idiot, it's over") == weight("l'homme est un idiot, c'est sur") == 1
+    assert weight("they shout 'you idiot' at him") == weight('they shout "you idiot" at him') == weight("they shout «idiot» now") == 0.4
+    assert weight('"a line"\nyou idiot\n"and a line"') == 1
+
+
+def test_words_beyond_24_letters_are_terms(spark):
+    long = "x" * 20 + "abcdefgh"
+    rows = [(i, f"{long} filler{i} more{i}", 1) for i in range(40)] + [(50 + i, f"{long[:25]}other clean{i}", 0) for i in range(40)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert any(t.whole and t.text == long for t in terms)
 
 
 def test_automaton_equals_edit_distance():
@@ -274,14 +295,14 @@ def test_automaton_equals_edit_distance():
         t = rng.choice(terms).text
         w = list(t)
         for _ in range(rng.randint(0, 3)):
-            i = rng.randrange(1, len(w) + 1)
+            i = rng.randrange(0, len(w) + 1)
             kind = rng.randrange(3)
             if kind == 0:
                 w.insert(i, rng.choice("abcst"))
             elif i < len(w):
                 w[i : i + 1] = [] if kind == 1 else [rng.choice("abcst")]
         w = "".join(w)
-        want = [(plain(w, x.text), k) for k, x in enumerate(terms) if w[0] == x.text[0] and plain(w, x.text) <= toxicity._edits(x.text, True)]
+        want = [(plain(w, x.text), k) for k, x in enumerate(terms) if plain(w, x.text) <= toxicity._edits(x.text, True)]
         got = lexicon.match(w)
         assert (got is None) == (not want) and (got is None or got[1] == min(want)[0])
 
@@ -359,7 +380,7 @@ def test_near_duplicates(docs, rows, nothing):
     n = len(rows)
     sets = [shingles(r[1]) for r in rows]
     df = Counter(k for s in sets for k in s)
-    weight = [{k: c * math.log1p(min(n / df[k], minhash.FLOOR)) for k, c in s.items()} for s in sets]
+    weight = [{k: c * math.log1p(min(n / df[k], 256)) for k, c in s.items()} for s in sets]
     parent = list(range(n))
 
     def root(i):
@@ -383,6 +404,34 @@ def test_near_duplicates(docs, rows, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_in_large_mixed_buckets(spark, monkeypatch):
+    """One continuum of texts, so that buckets hold several classes: classes equal those of all links."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        now = list(base)
+        for _ in range(rng.randrange(5)):
+            now[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(now))
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(50)]
+    sets, n = [shingles(t) for t in texts], len(texts)
+    df = Counter(k for s in sets for k in s)
+    weight = [{k: c * math.log1p(min(n / df[k], 256)) for k, c in s.items()} for s in sets]
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            both = sum(min(v, weight[j].get(k, 0)) for k, v in weight[i].items())
+            if both >= 0.8 * (sum(weight[i].values()) + sum(weight[j].values()) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert len(set(root)) > 55 and len(set(root)) < n - 20
+    assert sum(found[i] == root[i] for i in range(n)) >= 0.99 * n
+
+
 def test_samples_collide_as_often_as_texts_are_alike():
     rng = np.random.default_rng(8)
     h = rng.integers(1, 1 << 44, 300, np.uint64)
