@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: unless the session says otherwise, Arrow batches get 1000 rows, not 10000, which executors and their workers hold at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
@@ -34,6 +45,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so a lost executor re-reads a file instead of redoing the work, and gives the
     planner true sizes, so it broadcasts what is small and splits skewed joins of what is not.
     """
+    small_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -88,6 +100,40 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 20
+
+
+def _bit(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(20) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, set where a hash in column h falls: a fixed size. It only spares rows a join that would drop them."""
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_bit(batch.column("h").to_numpy().view(np.uint64))] = True
+        rows = [(i, zlib.compress(np.packbits(x).tobytes(), 1)) for i, x in enumerate(bits.reshape(-1, FILTER_BLOCK)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bits"])
+
+    def either(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in frame.bits])
+        return frame.iloc[:1].assign(bits=[zlib.compress(out.tobytes(), 1)])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    step = FILTER_BLOCK // 8
+    form = "block int, bits binary"
+    for row in hashes.mapInArrow(mark, form).groupBy("block").applyInPandas(either, form).toLocalIterator():
+        out[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return out
+
+
+def has_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    i = _bit(h)
+    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def ordered_sum(value: str, by: list[str], order: list) -> Column:
     """The sum of the rows before this one."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

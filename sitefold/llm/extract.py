@@ -1,202 +1,240 @@
 """Main text of web pages by tag-path ratios (operator 2).
 
 A page is cut into blocks of text, each with its root-to-leaf path of block tags. Text length and
-punctuation are averaged over the blocks of a path, both sequences are smoothed along the page, fused
-into one score, and the paths above a threshold mark content. The smallest element that holds most of
-what they mark is the article; its blocks are the result, without parts that their tags or class
-names set apart (navigation, forms, adverts, notices, comments) and without lists of links.
+punctuation outside links are averaged over the blocks of a path; both sequences are smoothed along
+the page and fused into one score, which tags and class names of boilerplate (navigation, adverts,
+comments) lower but do not decide. Blocks of at least the page's threshold are content. The article is
+the smallest element that holds most of the score; its other blocks (headings, short lines) belong to
+the result too, but for those that such a tag or class name marks within it, and lists of links.
+
+Time and memory are linear in the page, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import small_batches, text_of
 from .textvec import in_slices
 
-RAW = "script|style|title|textarea|noscript|iframe|xmp|noembed|noframes|template|svg|math"
+#: Their content is never text of the page; unclosed, they reach to its end.
+RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes|annotation"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?:[/!?]|[a-zA-Z])[^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that hold no article text, and words in class, id or role that say the same.
-APART = frozenset("nav footer aside form button select option menu dialog object applet video audio canvas head".split())
-WORDS = frozenset(
-    "nav navbar navigation menu menubar header masthead topbar toolbar footer sidebar aside rail ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social comment comments disqus respond reply replies discussion "
-    "related recommended recommendations breadcrumb breadcrumbs pagination pager widget search complementary contentinfo hidden".split()
+MATH = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mspace mstyle mpadded mphantom semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Not shown, if they are closed: else (drawings apart) they are no element at all.
+UNSEEN = frozenset("noscript template svg canvas video audio object applet head".split())
+#: Tags and words in class, id or role that speak against text: what a score is multiplied with.
+FAINT, WEAK = 0.1, 0.5
+FAINT_TAGS = frozenset("nav footer aside form button select option menu dialog".split())
+FAINT_WORDS = frozenset(
+    "nav navbar navigation menu menubar header masthead topbar toolbar footer sidebar rail ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login comment comments disqus respond replies "
+    "breadcrumb breadcrumbs pagination pager search complementary contentinfo".split()
 )
+WEAK_WORDS = frozenset("aside widget related recommended recommendations share sharing social reply discussion".split())
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…、。]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SMOOTH = np.exp(-0.5 * np.array([-2, -1, 0, 1, 2]) ** 2)
 MOST, LINKS, SHORT = 0.8, 0.9, 60
+#: Which open elements a start tag ends, and the elements that shelter them.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",)),
+}
 
 
-def _set_apart(tag: str, attrs: str, within_article: bool) -> bool:
-    if tag in APART or tag == "header" and not within_article:
-        return True
+def _prior(tag: str, attrs: str, within_article: bool) -> float:
+    """How far the element itself speaks for text: 1, less, or 0 if it is hidden."""
+    value = FAINT if tag in FAINT_TAGS or tag == "header" and not within_article else 1.0
     if not attrs:
-        return False
+        return value
     said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
     if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
-        return True
+        return 0.0
     if tag in ("html", "body", "main"):
-        return False
-    named = " ".join(said.get(k, "") for k in ("class", "id", "role"))
-    found = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", named)} & WORDS
-    return bool(found - ({"header", "banner"} if within_article else set()))
-
-
-class Block:
-    __slots__ = ("parents", "path", "text", "links")
-
-    def __init__(self, parents, path, text, links):
-        self.parents, self.path, self.text, self.links = parents, path, text, links
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's blocks outside parts that are set apart, in order."""
-    out: list[Block] = []
-    tags: list[str] = []
-    ids: list[int] = []  # of the open elements
-    apart = links = 0  # how many open elements are set apart, how many are links
-    marks: list[bool] = []
-    pieces: list[str] = []
-    linked = n = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            if text:
-                keep = [i for i, t in enumerate(tags) if t not in INLINE]
-                out.append(Block([ids[i] for i in keep], tuple(tags[i] for i in keep), text, linked / len(text)))
-            pieces.clear()
+        return value
+    found = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", " ".join(said.get(k, "") for k in ("class", "id", "role")))}
+    if found & FAINT_WORDS - ({"header", "banner"} if within_article else set()):
+        return FAINT
+    return min(value, WEAK) if found & WEAK_WORDS else value
+
+
+class Page:
+    """The elements of a page (``parent``, ``tag``, ``path``, ``prior`` of each, by number) and its blocks of text
+    (``node``: the element, ``texts``, ``links``: the share of letters in links), in order. Element 0 holds all."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.path, self.prior = [0], [""], [0], [1.0]
+        self.node: list[int] = []
+        self.texts: list[str] = []
+        self.links: list[float] = []
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        tags: list[str] = []  # of the open elements, with the number of the innermost block element at each
+        blocks = [0]
+        at: dict[str, list[int]] = {}  # where they are open, by tag
+        paths: dict[tuple[int, str], int] = {}
+        last_end = {}  # of the unseen elements' end tags
+        unseen = 0
+        pieces: list[str] = []
         linked = 0
+        low = page.lower()
 
-    def close(depth: int) -> None:
-        nonlocal apart, links
-        if any(t not in INLINE for t in tags[depth:]):
-            flush()
-        apart -= sum(marks[depth:])
-        links -= tags[depth:].count("a")
-        del tags[depth:], ids[depth:], marks[depth:]
-
-    def last(names, stop=()) -> int:
-        for i in range(len(tags) - 1, -1, -1):
-            if tags[i] in names:
-                return i
-            if tags[i] in stop:
-                break
-        return -1
-
-    for m in TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            if not apart:
-                text = entities.unescape(text)
-                pieces.append(text)
-                if links:
-                    linked += len(text)
-            continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"]:
-            if (i := last((tag,))) >= 0:
-                close(i)
-            elif tag == "br":
-                pieces.append(" ")
-            continue
-        if tag in VOID:
-            if tag == "br" and not apart:
-                pieces.append(" ")
-            elif tag == "hr":
+        def flush() -> None:
+            nonlocal linked
+            if pieces:
+                text = " ".join("".join(pieces).split())
+                if text:
+                    self.node.append(blocks[-1])
+                    self.texts.append(text)
+                    self.links.append(min(1.0, linked / len(text)))
+                pieces.clear()
+            linked = 0
+
+        def close(depth: int) -> None:
+            nonlocal unseen
+            while len(tags) > depth:
+                if tags[-1] not in INLINE:
+                    flush()
+                tag = tags.pop()
+                at[tag].pop()
+                blocks.pop()
+                unseen -= tag in UNSEEN
+
+        def last(names, stop=()) -> int:
+            place = lambda x: max((at[t][-1] for t in x if at.get(t)), default=-1)
+            found = place(names)
+            return found if found > place(stop) else -1
+
+        m, end = None, page.rfind(">") + 1  # beyond it there is text alone
+        for m in TOKEN.finditer(page, 0, end):
+            text = m["text"]
+            if text is not None:
+                if not unseen:
+                    text = entities.unescape(text)
+                    pieces.append(text)
+                    if at.get("a"):
+                        linked += len(text)
+                continue
+            tag = m["tag"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m["end"]:
+                if (i := last((tag,))) >= 0:
+                    close(i)
+                elif tag == "br":
+                    pieces.append(" ")
+                continue
+            if tag in VOID:
+                if tag == "br" and not unseen:
+                    pieces.append(" ")
+                elif tag == "hr":
+                    flush()
+                continue
+            if tag in UNSEEN and tag != "svg":  # text blocks end a drawing
+                if tag not in last_end:
+                    last_end[tag] = low.rfind(f"</{tag}")
+                if last_end[tag] < m.end():
+                    continue
+            if tag not in INLINE:
+                if at.get("svg") and tag not in UNSEEN and tag in ("p", "div", "ul", "ol", "table", "blockquote", "pre", "body", *HEADINGS):
+                    close(at["svg"][0])
+                if (i := last(("p",), ("table", "button", "object", "td", "th"))) >= 0:
+                    close(i)
+                if tag in ENDS and (i := last(*ENDS[tag])) >= 0:
+                    close(i)
                 flush()
-            continue
-        if tag not in INLINE:
-            if (i := last(("p",), ("table", "button", "object", "td", "th"))) >= 0:
+            elif tag == "a" and (i := last(("a",))) >= 0:
                 close(i)
-            for names, stop in ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("td", "th"), ("tr", "table")), (("tr",), ("table",)), (("option",), ("select",))):
-                if tag in names and (i := last(names, stop)) >= 0:
-                    close(i)
-            flush()
-        elif tag == "a" and (i := last(("a",))) >= 0:
-            close(i)
-        attrs = m["attrs"] or ""
-        if attrs.endswith("/") and tag not in INLINE and tag not in ("p", "div"):
-            continue
-        mark = _set_apart(tag, attrs, "article" in tags or "main" in tags)
-        tags.append(tag)
-        n += 1
-        ids.append(n)
-        marks.append(mark)
-        apart += mark
-        links += tag == "a"
-    flush()
-    return out
-
-
-def path_scores(found: list[Block]) -> np.ndarray:
-    """Of each block: the smoothed and fused text and punctuation ratios of its path."""
-    length, signs, count = Counter(), Counter(), Counter()
-    for b in found:
-        length[b.path] += len(b.text) * (1 - b.links)
-        signs[b.path] += len(PUNCTUATION.findall(b.text)) * (1 - b.links)
-        count[b.path] += 1
-    text = np.array([length[b.path] / count[b.path] for b in found])
-    marks = np.array([signs[b.path] / count[b.path] for b in found])
-    even = np.convolve(np.ones(len(found)), SMOOTH, "same") if len(found) >= len(SMOOTH) else None
-    smooth = (lambda x: np.convolve(x, SMOOTH, "same") / even) if even is not None else (lambda x: x)
-    return smooth(text) * (1 + np.log1p(smooth(marks)))
-
-
-def main_text(page: str | None) -> str:
+            attrs = m["attrs"] or ""
+            if attrs.endswith("/") and (tag in UNSEEN or tag in MATH or tag not in INLINE and tag not in ("p", "div")):
+                continue
+            up = blocks[-1]
+            prior = min(self.prior[up], _prior(tag, attrs, bool(at.get("article") or at.get("main"))))
+            if tag not in INLINE or prior < self.prior[up]:  # an inline element with a mark of its own is one too
+                if tag in INLINE:
+                    flush()
+                self.parent.append(up)
+                self.tag.append(tag)
+                self.path.append(paths.setdefault((self.path[up], tag), len(paths) + 1))
+                self.prior.append(prior)
+                blocks.append(len(self.parent) - 1)
+            else:
+                blocks.append(up)
+            at.setdefault(tag, []).append(len(tags))
+            tags.append(tag)
+            unseen += tag in UNSEEN
+        open_ = m is not None and (m["raw"] and not re.search(r"</[^<>]*>\Z", m[0]) or m[0].startswith("<!--") and not m[0].endswith("-->"))
+        if not open_ and not unseen:
+            pieces.append(entities.unescape(page[end:].partition("<!--")[0]))
+        close(0)
+        flush()
+
+
+def path_scores(page: Page) -> np.ndarray:
+    """Of each block: the smoothed and fused text and punctuation ratios of its path, lowered by marks of boilerplate."""
+    node = np.array(page.node)
+    path = np.array(page.path)[node]
+    plain = 1 - np.array(page.links)
+    count = np.maximum(np.bincount(path), 1)
+    text = (np.bincount(path, plain * [len(t) for t in page.texts]) / count)[path]
+    marks = (np.bincount(path, plain * [len(PUNCTUATION.findall(t)) for t in page.texts]) / count)[path]
+    if len(node) >= len(SMOOTH):
+        even = np.convolve(np.ones(len(node)), SMOOTH, "same")
+        text, marks = np.convolve(text, SMOOTH, "same") / even, np.convolve(marks, SMOOTH, "same") / even
+    return text * (1 + np.log1p(marks)) * plain * np.array(page.prior)[node]
+
+
+def main_text(html: str | None) -> str:
     """The article, its blocks joined by empty lines; empty if there is none."""
-    found = blocks(page or "")
-    if not found:
+    page = Page(html or "")
+    if not page.node:
         return ""
-    score = path_scores(found)
+    score = path_scores(page)
     limit = min(score.std(), score.mean()) or score.max()
-    per_path = defaultdict(list)
-    for b, s in zip(found, score, strict=True):
-        per_path[b.path].append(s)
-    content = {p for p, s in per_path.items() if max(s) >= limit}
-    # The smallest element with most of the marked text: its id is the last that so many blocks share.
-    held, total = Counter(), 0
-    for b in found:
-        if b.path in content:
-            weight = len(b.text) * (1 - b.links)
-            total += weight
-            for i in b.parents[:-1] or b.parents:
-                held[i] += weight
-    inside = [i for i, w in held.items() if w >= MOST * total and total > 0]
-    article = max(inside, default=None)
-    names = {i: t for b in found for i, t in zip(b.parents, b.path, strict=True)}
-    broad = article is None or names[article] in ("html", "body")
-    lists = Counter((b.parents[-2:-1] or [0])[0] for b in found if b.links >= LINKS and len(b.text) < SHORT)
+    # The smallest element, leaves aside, with most of the score: of those that have it, the last opened.
+    held = np.zeros(len(page.parent))
+    np.add.at(held, np.array(page.parent)[page.node], score)
+    for i in range(len(held) - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+    article = int(np.flatnonzero(held >= MOST * score.sum() * (1 - 1e-9))[-1])
+    inside = [article == 0] * len(held)
+    for i in range(1, len(held)):
+        inside[i] = i == article or inside[page.parent[i]]
+    broad = page.tag[article] in ("", "html", "body")
+    content = np.flatnonzero(score >= limit)
+    first, last = (content[0], content[-1]) if len(content) else (0, len(score))
+    lists: dict[int, int] = {}
+    is_link = [k >= LINKS and len(t) < SHORT and s < limit for k, t, s in zip(page.links, page.texts, score, strict=True)]
+    for i, link in zip(page.node, is_link, strict=True):
+        if link:
+            lists[page.parent[i]] = lists.get(page.parent[i], 0) + 1
     kept = []
-    for b in found:
-        if article is not None and article not in b.parents:
-            continue
-        if b.links >= LINKS and len(b.text) < SHORT and lists[(b.parents[-2:-1] or [0])[0]] >= 3:
-            continue
-        if broad and b.path not in content and not (b.path and b.path[-1] in HEADINGS):
+    for k, (i, text) in enumerate(zip(page.node, page.texts, strict=True)):
+        if not page.prior[i] or is_link[k] and lists[page.parent[i]] >= 3:
             continue
-        kept.append(b.text)
+        if score[k] < limit:
+            if not inside[i] or page.prior[i] < page.prior[article]:
+                continue
+            if broad and not first <= k <= last and page.tag[i] not in HEADINGS:
+                continue
+        kept.append(text)
     return "\n\n".join(kept)
 
 
@@ -204,7 +242,8 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """The columns of ``pages`` without ``html``, and text, n_chars (its code points).
 
     A null or empty page, or one without an article, gives an empty text. Repeated rows are each
-    extracted. Columns named text or n_chars are replaced; other columns are kept as they are.
+    extracted; an empty table gives an empty one. Columns named text or n_chars are replaced; other
+    columns are kept as they are.
     """
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
@@ -215,4 +254,5 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     return pages.select(*keep, text_of(html).alias(html)).mapInArrow(extract, schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 from .textvec import in_slices, rolling, span_hash
 
 WINDOW, END_ID = 4096, 2
@@ -248,5 +248,6 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if held:
             yield flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias(doc_id), text_of(text).alias(text))
     return rows.mapInArrow(pack, PIECE + ", ids binary" * ids)

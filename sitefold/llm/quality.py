@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import small_batches, text_of
 from .linear import calibrate, fit, labelled_sample, sigmoid
 from .textvec import Words, in_slices, mixed, words
 
@@ -155,6 +155,7 @@ def quality_rules(docs: DataFrame, model: Model, text: str = "text", least_score
             columns = [batch.column(c) for c in keep] + [pa.array(s[c], pa.int64()) for c in STATISTICS]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(score), pa.array(~failed & (score >= least_score))], names=[*keep, *added])
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, text_of(text).alias(text)).mapInArrow(judge, schema)
 
 

@@ -24,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import bit_filter, has_bits, staged, text_of
 from .textvec import in_slices, mixed, powers, rolling, span_hash
 
 LENGTH, SHARE = 200, 4  # minimizers have length / SHARE bytes
 SEGMENT = 8 << 20  # longer texts are cut, with an overlap of length - 1
 GROUP_CONTEXTS, TASK_BYTES = 3000, 1 << 20
-FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 20
 
 
 # --- one task's suffixes -------------------------------------------------------------------------
@@ -153,43 +152,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], length: int):
                 yield batch.slice(i, 1), [texts[i][at : at + SEGMENT + length - 1]], at
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(20) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """``FILTER_BITS`` bits, set where a hash falls: a fixed size. It only spares rows a join that would drop them."""
-
-    def mark(batches):
-        import zlib
-
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_bit(batch.column("h").to_numpy().astype(np.uint64))] = True
-        blocks = [zlib.compress(np.packbits(x).tobytes(), 1) for x in bits.reshape(-1, FILTER_BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "bits"])
-
-    def either(frame: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in frame.bits])
-        return frame.iloc[:1].assign(bits=[zlib.compress(out.tobytes(), 1)])
-
-    import zlib
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    step = FILTER_BLOCK // 8
-    form = "block int, bits binary"
-    for row in hashes.coalesce(16).mapInArrow(mark, form).groupBy("block").applyInPandas(either, form).toLocalIterator():
-        out[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return out
-
-
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    i = _bit(h)
-    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _split_groups(rows: DataFrame, length: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """(h, c, key, low, high): the keys under which at most ``limit`` contexts meet, and which strings, by distance ``l`` of the minimizer from their start, they meet for;
     and (h, c, from, run): at a single distance the contexts of a key share the whole string, so more of them repeat there and need not meet."""
@@ -232,17 +194,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     form = "h long, n long, low long, high long"
     again = docs.select("bytes").mapInArrow(minimizers, form).groupBy("h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     again = staged(again.where("n > 1").select("h", (F.col("low") < F.col("high")).alias("differ")), "again")
-    bits, differ_bits = _filter(again.select("h")), _filter(again.where("differ").select("h"))
+    bits, differ_bits = bit_filter(again.select("h")), bit_filter(again.where("differ").select("h"))
     sc = docs.sparkSession.sparkContext
     bits, differ_bits = sc.broadcast(bits), sc.broadcast(differ_bits)
 
     def occurrences(batches):
         for batch, texts, offset in _chunks(batches, length):
             text, start, count, h, c, ahead, cut = contexts(texts, length)
-            rows = np.flatnonzero(_has(bits.value, h))
+            rows = np.flatnonzero(has_bits(bits.value, h))
             sent: set[int] = set()
             data = []
-            for i, x, d in zip(rows.tolist(), c[rows].tolist(), _has(differ_bits.value, h[rows]).tolist(), strict=True):
+            for i, x, d in zip(rows.tolist(), c[rows].tolist(), has_bits(differ_bits.value, h[rows]).tolist(), strict=True):
                 data.append(cut(i) if d and x not in sent else None)  # one copy of a context from a chunk
                 sent.add(x)
             take = pa.array(text[rows])

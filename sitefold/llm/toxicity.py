@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import small_batches, staged, text_of
 from .linear import class_sizes, fit, known_labels, labelled_sample, sigmoid
 from .textvec import in_slices, mixed, powers, shingles
 from .textvec import words as words_of
@@ -400,6 +400,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep_text:
             columns = [batch.column(c) for c in names] + [pa.array([n for _, n in found], pa.int64()), pa.array(p), pa.array((p >= LEAST_SCORE).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
+    small_batches(docs.sparkSession)
     return docs.select(*names, text_of(text).alias("t_")).mapInArrow(score, schema)
 
 

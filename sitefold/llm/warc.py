@@ -173,8 +173,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    # One archive may be much of the input: deal them out one by one.
-    return archives.select("path").repartition("path").mapInPandas(read, RECORD)
+    # One archive may be much of the input: a task for each, which adaptive execution may not merge.
+    return archives.select("path").repartitionByRange(max(1, archives.count()), "path").mapInPandas(read, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -133,6 +133,46 @@ def test_extraction(spark):
     assert extract.extract_text(frame.limit(0)).count() == 0
 
 
+SECTIONS = """<html><body><nav><a href=a>Home</a> and more</nav><article><h1>T</h1><p>First one, it is long enough, really so. Yes.</p>
+<section class="related-work"><h2>Related work</h2><p>Others did, long ago, some of it; here is what, and why it matters.</p></section>
+<section class="discussion"><p>We discuss, at length, what this means. It means a lot, we think.</p></section>
+<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><noscript><p>After an unclosed one, it goes on.</p><svg><text>drawn</text>
+<p>After a drawing, too.</p><div id=comments><p>Nice, I like.</p></div></article><div class="ad">Buy it, now. Really.</div><footer>c</footer></body></html>"""
+
+
+def test_sections_of_an_article_stay():
+    text = extract.main_text(SECTIONS)
+    assert text.split("\n\n") == [
+        "T", "First one, it is long enough, really so. Yes.", "Related work", "Others did, long ago, some of it; here is what, and why it matters.",
+        "We discuss, at length, what this means. It means a lot, we think.", "Let x=2 be.", "After an unclosed one, it goes on.", "After a drawing, too.",
+    ]
+
+
+def test_path_scores_equal_plain_sums_and_decide(monkeypatch):
+    for html in (PAGE, SECTIONS):
+        page = extract.Page(html)
+        chain = lambda i: () if i == 0 else (*chain(page.parent[i]), page.tag[i])
+        paths = [chain(i) for i in page.node]
+        plain = [1 - k for k in page.links]
+        mean = lambda values: [sum(v for v, q in zip(values, paths, strict=True) if q == p) / paths.count(p) for p in paths]
+        ratios = [mean([len(t) * k for t, k in zip(page.texts, plain, strict=True)]), mean([len(extract.PUNCTUATION.findall(t)) * k for t, k in zip(page.texts, plain, strict=True)])]
+        n, kernel = len(paths), [math.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)]
+        smooth = lambda x: [sum(k * x[i + d] for d, k in zip(range(-2, 3), kernel, strict=True) if 0 <= i + d < n) / sum(k for d, k in zip(range(-2, 3), kernel, strict=True) if 0 <= i + d < n) for i in range(n)]
+        text, marks = map(smooth, ratios)
+        want = [t * (1 + math.log1p(m)) * k * page.prior[i] for t, m, k, i in zip(text, marks, plain, page.node, strict=True)]
+        assert n >= 5 and np.allclose(extract.path_scores(page), want)
+    before = extract.main_text(SECTIONS)
+    monkeypatch.setattr(extract, "path_scores", lambda page: np.ones(len(page.node)))
+    assert extract.main_text(SECTIONS) != before
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    n = 100_000
+    assert extract.main_text("<div>text" * n).count("text") >= n - 2
+    for page in ("<div>text", "<a<", "<p><b>x", "<svg>", "<table><tr><td>x", '<a title="', "<!--", "<script>"):
+        extract.main_text(page * n)
+
+
 def vector_rows(n=900):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((n, 16)).astype(np.float32)
@@ -352,6 +392,8 @@ def test_archives(spark, tmp_path):
     assert {r["record_type"] for r in every} == {"response"}
     archives = warc.write_archives(frame, str(tmp_path / "warc"))
     bodies = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(archives).where("record_type = 'response'").collect()}
+    many = warc.write_archives(frame.repartition(5), str(tmp_path / "many"))
+    assert warc.read_archives(many).rdd.getNumPartitions() == many.count()
     assert bodies[7] == ("é" * 100_000).encode() and bodies[2] == b"\r\n\r\nbody"
     assert warc.archive_round_trip(frame.limit(0)).count() == 0
 
@@ -525,6 +567,46 @@ def test_secrets(docs, rows, nothing):
     assert secrets.secret_digests(nothing).count() == 0
 
 
+def test_spans_of_the_method(docs, rows):
+    """Tokens outside base spans, judged by owners and repositories."""
+    found = []
+    for i, r in enumerate(rows):
+        x = r[1] or ""
+        base = base_spans(x)
+        tokens = [(m.start(), 3, "token", m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{24,}", x) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        apart = [t for t in tokens if not any(b[0] < t[3] and t[0] < b[3] for b in base)]
+        value = lambda s: ASSIGN.match(x, s[0])[2] if s[2] == "assign" else x[s[0] : s[3]]
+        found += [(i, r[3], r[0], s, value(s)) for s in base + apart]
+    spread = {}
+    for _, owner, repository, _, v in found:
+        spread.setdefault(v, set()).add((owner, repository))
+    want = {i: [] for i in range(len(rows))}
+    for i, _, _, s, v in found:
+        plain = re.search("example|sample|dummy|placeholder|changeme|xxxx|0000000|1234567|abcdefg", v, re.I)
+        few = len({o for o, _ in spread[v]}) <= 2 and len(spread[v]) <= 10
+        if s[2] != "token" or few and not plain and len(set(v)) >= 8:
+            want[i].append(s)
+    have = Counter((r["doc_id"], r["spans"]) for r in secrets.secret_digests(docs).collect())
+    assert have == Counter((r[0], ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(want[i]))) for i, r in enumerate(rows))
+    assert any(s[2] == "token" for spans in want.values() for s in spans)
+
+
+def test_a_text_of_many_secrets(spark):
+    n = 100_000
+    text = "é ".join(f"token={i:08d}x" for i in range(n))
+    frame = spark.createDataFrame([(1, text, "s"), (2, "none", "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_assign"] for r in secrets.secret_digests(frame).collect()}
+    assert got == {1: n, 2: 0}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(frame).collect()}
+    assert clean[1] == "é ".join(["<SECRET>"] * (n - 1)) + "é <SECRET>" and clean[2] == "none"
+
+
+def test_copies_within_one_owner_are_examples(spark):
+    example = "Zq8vKp2mTx7wLs4nRb9cYd3f"
+    rows = [(i, f"see {example} here", "one owner") for i in range(12)]
+    assert all(r["spans"] == "" for r in secrets.secret_digests(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
 def test_widely_copied_tokens_are_examples(spark):
     example, own = "Zq8vKp2mTx7wLs4nRb9cYd3f", "Hj5tQw8eRu2iOp6aSd4fGk1l"
     rows = [(i, f"see {example} here", f"owner{i}") for i in range(6)] + [(9, f"mine {own} x", "owner1")]
