@@ -229,8 +229,10 @@ def main_text(html: str | None) -> str:
     for k, (i, text) in enumerate(zip(page.node, page.texts, strict=True)):
         if not page.prior[i] or is_link[k] and lists[page.parent[i]] >= 3:
             continue
+        if page.prior[i] < page.prior[article] and (score[k] < limit or not inside[i]):
+            continue
         if score[k] < limit:
-            if not inside[i] or page.prior[i] < page.prior[article]:
+            if not inside[i]:
                 continue
             if broad and not first <= k <= last and page.tag[i] not in HEADINGS:
                 continue
