@@ -114,6 +114,20 @@ def site_progress(requests: DataFrame) -> DataFrame:
     return requests.withColumn("context_sites_done", done).withColumn("still_missing", F.array_except("context_sites", "context_sites_done"))
 
 
+def actions_of_request(actions: DataFrame, request: str, bucket: str) -> DataFrame:
+    return actions.where((F.col("request_id") == request) & (F.col("bucket") == bucket))
+
+
+def request_totals(listing: DataFrame, actions: DataFrame) -> DataFrame:
+    """Per request: objects checked, states checked, actions, and actions that fetch content."""
+    on = ["bucket", "name"]
+    checked = listing.groupBy("request_id", *on).agg(F.count("*").alias("n")).groupBy("request_id").agg(F.count("*").alias("checked"), F.sum("n").alias("checked_states"))
+    fetch = F.count_if(F.col("need_action").isin(m.UPLOAD, m.UPDATE))
+    done = actions.groupBy("request_id").agg(F.count("*").alias("actions"), fetch.alias("fetches"))
+    joined = checked.join(done, "request_id", "left")
+    return joined.select("request_id", "checked", "checked_states", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("actions", "fetches")))
+
+
 def actions_for_site(actions: DataFrame, site: str) -> DataFrame:
     return actions.where(F.array_contains("sites", site))
 
@@ -124,23 +138,49 @@ def actions_to_orders(actions: DataFrame, on: Sequence[str] = ON) -> DataFrame:
     return actions.select(*on, "need_action", source.alias("from_site"), F.explode("sites").alias("to_site"))
 
 
-#: What an action makes of an object in each status, and the step in storage; - is invalid.
-OUTCOMES = {
-    "DELETE": ("DELETED DELETED DELETED DELETED - DELETED IGNORE", "DELETE_IF_EXISTS " * 7),
-    "UPDATE": ("READY_IF_STORED READY_IF_STORED READY_IF_STORED - - - READY_WITH_UPLOAD", "UPLOAD_IF_NEEDED - UPLOAD_IF_NEEDED - - - UPLOAD"),
-    "UPLOAD": ("READY - READY READY READY READY READY", "UPLOAD - UPLOAD UPLOAD UPLOAD UPLOAD UPLOAD"),
-    "UPGRADE": ("READY - READY READY READY READY READY", "UPLOAD_IF_NEEDED " * 7),
-    "ERR_UPL": ("ERR_UPL - ERR_UPL - - - -", "NOTHING " * 7),
-}
-OUTCOME_STATUSES = ("UPLOAD", "READY", "ERR_UPL", "DELETING", "DELETED", "ERR_DEL", "ABSENT")
+#: Action, status of the object, its status in the catalog afterwards (none: the pair is invalid), step in storage.
+OUTCOMES = (
+    ("DELETE", "UPLOAD", "DELETED", "DELETE_IF_EXISTS"),
+    ("DELETE", "READY", "DELETED", "DELETE_IF_EXISTS"),
+    ("DELETE", "ERR_UPL", "DELETED", "DELETE_IF_EXISTS"),
+    ("DELETE", "DELETING", "DELETED", "DELETE_IF_EXISTS"),
+    ("DELETE", "DELETED", None, None),
+    ("DELETE", "ERR_DEL", "DELETED", "DELETE_IF_EXISTS"),
+    ("DELETE", "ABSENT", "IGNORE", "DELETE_IF_EXISTS"),
+    ("UPDATE", "UPLOAD", "READY_IF_STORED", "UPLOAD_IF_NEEDED"),
+    ("UPDATE", "READY", "READY_IF_STORED", None),
+    ("UPDATE", "ERR_UPL", "READY_IF_STORED", "UPLOAD_IF_NEEDED"),
+    ("UPDATE", "DELETING", None, None),
+    ("UPDATE", "DELETED", None, None),
+    ("UPDATE", "ERR_DEL", None, None),
+    ("UPDATE", "ABSENT", "READY_WITH_UPLOAD", "UPLOAD"),
+    ("UPLOAD", "UPLOAD", "READY", "UPLOAD"),
+    ("UPLOAD", "READY", None, None),
+    ("UPLOAD", "ERR_UPL", "READY", "UPLOAD"),
+    ("UPLOAD", "DELETING", "READY", "UPLOAD"),
+    ("UPLOAD", "DELETED", "READY", "UPLOAD"),
+    ("UPLOAD", "ERR_DEL", "READY", "UPLOAD"),
+    ("UPLOAD", "ABSENT", "READY", "UPLOAD"),
+    ("UPGRADE", "UPLOAD", "READY", "UPLOAD_IF_NEEDED"),
+    ("UPGRADE", "READY", None, None),
+    ("UPGRADE", "ERR_UPL", "READY", "UPLOAD_IF_NEEDED"),
+    ("UPGRADE", "DELETING", "READY", "UPLOAD_IF_NEEDED"),
+    ("UPGRADE", "DELETED", "READY", "UPLOAD_IF_NEEDED"),
+    ("UPGRADE", "ERR_DEL", "READY", "UPLOAD_IF_NEEDED"),
+    ("UPGRADE", "ABSENT", "READY", "UPLOAD_IF_NEEDED"),
+    ("ERR_UPL", "UPLOAD", "ERR_UPL", "NOTHING"),
+    ("ERR_UPL", "READY", None, None),
+    ("ERR_UPL", "ERR_UPL", "ERR_UPL", "NOTHING"),
+    ("ERR_UPL", "DELETING", None, None),
+    ("ERR_UPL", "DELETED", None, None),
+    ("ERR_UPL", "ERR_DEL", None, None),
+    ("ERR_UPL", "ABSENT", None, None),
+)
 
 
 def outcome_rules(spark) -> DataFrame:
     """The rule table: action, status, valid, db_status, storage_step; 35 rows."""
-    rows = []
-    for action, (db, storage) in OUTCOMES.items():
-        for status, d, s in zip(OUTCOME_STATUSES, db.split(), storage.split(), strict=True):
-            rows.append((action, status, d != "-", None if d == "-" else d, None if s == "-" or d == "-" else s))
+    rows = [(action, status, db is not None, db, step) for action, status, db, step in OUTCOMES]
     return spark.createDataFrame(rows, "action string, status string, valid boolean, db_status string, storage_step string")
 
 

@@ -66,6 +66,19 @@ def continue_replace(native: DataFrame, before: str, request: str) -> DataFrame:
     return native.withColumn("request_id", F.when(F.col("request_id") == before, F.lit(request)).otherwise(F.col("request_id")))
 
 
+def reconcile_sites(objects: DataFrame, listing: DataFrame, start: Column) -> DataFrame:
+    """The states (bucket, name, site, event, nstatus) that ``reconcile_local`` gives for each site, for all of them in one full outer join."""
+    known = with_rank(objects.where(F.col("status").isNull() | (F.col("status") != "UNKNOWN")))
+    hit = (F.col("creation") <= start) & F.col("rstatus").between(0, len(REMAP) - 1)
+    rank = F.when(hit, F.element_at(F.array(*(F.lit(x) for x in REMAP)), F.col("rstatus") + 1)).otherwise(F.col("rstatus"))
+    db = known.select("site", *ON, _state(F.col("site"), rank, F.col("creation")).alias("db"))
+    driver = _listed(listing, "site", *ON).select("site", *ON, _state(F.col("site"), F.lit(m.RANK["READY"]), F.col("event")).alias("driver"))
+    states = db.join(driver, ["site", *ON], "full_outer").withColumn("nstatus", state_code()).where("nstatus is not null")
+    # What is stored and to be updated is refreshed from storage at once.
+    code = F.when((F.col("nstatus") == m.UPDATE) & F.col("driver").isNotNull(), m.READY).otherwise(F.col("nstatus"))
+    return states.select(*ON, "site", latest_event().alias("event"), code.alias("nstatus"))
+
+
 def assign_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.uuid())
 
@@ -83,10 +96,15 @@ def snapshot_db(native: DataFrame, objects: DataFrame, site: str, bucket: str |
     return null_out(native, db_states(objects, site, bucket, only), ON)
 
 
+def _listed(listing: DataFrame, *on: str) -> DataFrame:
+    """A name that is listed twice counts once, at its latest event."""
+    return listing.groupBy(*on).agg(F.max("event").alias("event"))
+
+
 def snapshot_driver(native: DataFrame, listing: DataFrame, site: str, bucket: str | None = None, only: Column | None = None) -> DataFrame:
     """``listing``: site, bucket, name, event. Sets ``driver``; listed names without a native row get one."""
     rows = listing.where(of(site, bucket) if only is None else of(site, bucket) & only)
-    rows = rows.select(*ON, _state(F.col("site"), F.lit(m.RANK["READY"]), F.col("event")).alias("new_"))
+    rows = _listed(rows, "site", *ON).select(*ON, _state(F.col("site"), F.lit(m.RANK["READY"]), F.col("event")).alias("new_"))
     joined = native.join(rows, ON, "full_outer")
     return joined.select(*ON, "db", F.coalesce("new_", "driver").alias("driver"))
 
@@ -184,6 +202,13 @@ def site_states_both(native: DataFrame, site: str) -> DataFrame:
     return site_states(native, site, _both())
 
 
+def refresh_native(native: DataFrame) -> DataFrame:
+    """The native rows after ``refresh_from_driver``: what was to be updated has the rank of READY and the storage's event on its catalog side."""
+    todo = (state_code() == m.UPDATE) & F.col("driver").isNotNull()
+    fresh = _state(F.col("driver.site"), F.lit(m.RANK["READY"]), F.col("driver.event"))
+    return native.withColumn("db", F.when(todo, fresh).otherwise(F.col("db")))
+
+
 def refresh_from_driver(objects: DataFrame, states: DataFrame, listing: DataFrame, site: str, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """Objects to update take creation, and hash, size, expires and metadata where the listing has them; their states become READY.
 
@@ -213,7 +238,7 @@ def reconcile_local(objects: DataFrame, listing: DataFrame, site: str, start: Co
     kept = objects.where(~F.coalesce(of(site, bucket) & (F.col("status") == "UNKNOWN"), F.lit(False)))
     ranked = rank_remap(with_rank(kept), site, start, bucket)
     own = listing.where(of(site, bucket))
-    native = db_states(ranked, site, bucket).join(own.select(*ON, _state(F.col("site"), F.lit(m.RANK["READY"]), F.col("event")).alias("driver")), ON, "full_outer").select(*ON, "db", "driver")
+    native = db_states(ranked, site, bucket).join(_listed(own, "site", *ON).select(*ON, _state(F.col("site"), F.lit(m.RANK["READY"]), F.col("event")).alias("driver")), ON, "full_outer").select(*ON, "db", "driver")
     fixed = fix_objects(ranked, native, site)
     fixed, states = refresh_from_driver(fixed, site_states(native, site), listing, site)
     return fixed, native, states

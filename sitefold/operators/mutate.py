@@ -1,4 +1,8 @@
-"""Table changes as table in, table out. Keys are compared null-safely nowhere: a null key matches nothing."""
+"""Table changes as table in, table out. Keys are compared null-safely nowhere: a null key matches nothing.
+
+Where a source says what becomes of existing rows, one of its rows counts for each key (the last by its
+JSON text), so a repeated key never multiplies target rows.
+"""
 
 from __future__ import annotations
 
@@ -36,10 +40,16 @@ def set_array(rows: DataFrame, array: str, old: Column, value: Column) -> DataFr
     return rows.withColumn(array, F.concat(old, F.array(value)))
 
 
+def one_per_key(source: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The source with one row for each key; the aggregation deals rows out as the join that follows does."""
+    row = F.struct(*source.columns)
+    return source.groupBy(*on).agg(F.max_by(row, F.to_json(row)).alias("row_")).select("row_.*")
+
+
 def update_if_changed(target: DataFrame, source: DataFrame, on: Sequence[str]) -> DataFrame:
     """The target with the source's values, and ``changed``: whether any value differed."""
     values = [c for c in target.columns if c not in on]
-    s = source.select(*on, F.struct(*values).alias("new_"))
+    s = one_per_key(source.select(*on, *values), on).select(*on, F.struct(*values).alias("new_"))
     joined = target.join(s, list(on), "left")
     changed = F.col("new_").isNotNull() & ~F.struct(*values).eqNullSafe(F.col("new_"))
     joined = joined.withColumn("changed", changed)
@@ -48,7 +58,7 @@ def update_if_changed(target: DataFrame, source: DataFrame, on: Sequence[str]) -
 
 def update_status(target: DataFrame, changes: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``changes``: key, new_status, new_creation (null keeps the old one). Returns the table, and the changes that did not hit one row."""
-    joined = target.join(changes.withColumn("hit_", F.lit(True)), list(on), "left")
+    joined = target.join(one_per_key(changes, on).withColumn("hit_", F.lit(True)), list(on), "left")
     table = joined.withColumn("status", F.coalesce("new_status", "status")).withColumn("creation", F.coalesce("new_creation", "creation")).select(*target.columns)
     hits = target.groupBy(*on).agg(F.count("*").alias("hits"))
     missed = changes.join(hits, list(on), "left").where(F.coalesce("hits", F.lit(0)) != 1).drop("hits")
@@ -67,7 +77,7 @@ def replace(target: DataFrame, source: DataFrame, on: Sequence[str]) -> DataFram
 
 def merge_or_discard(target: DataFrame, source: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Overwrites the fields of existing keys; source rows without a target are dropped, null values change nothing."""
-    s = source.select(*on, *(F.col(c).alias(f"{c}_new") for c in fields))
+    s = one_per_key(source.select(*on, *fields), on).select(*on, *(F.col(c).alias(f"{c}_new") for c in fields))
     joined = target.join(s, list(on), "left")
     return joined.select(*(F.coalesce(f"{c}_new", c).alias(c) if c in fields else F.col(c) for c in target.columns))
 

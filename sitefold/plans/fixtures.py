@@ -37,6 +37,11 @@ FROM {orders} o CROSS JOIN {f_sites} s WHERE (o.o_orderkey*11 + s.i) % 7 <> 0"""
     # Objects that orders act on, with every status.
     "f_targets": """SELECT DISTINCT concat('bucket-', CAST(o_custkey % 4 AS VARCHAR(4))) AS bucket, concat('object_', CAST(o_orderkey % 100 AS VARCHAR(20))) AS name,
  CASE (o_custkey % 4 + o_orderkey % 100) % 6 WHEN 0 THEN 'UPLOAD' WHEN 1 THEN 'DELETED' WHEN 2 THEN 'ERR_UPL' ELSE 'READY' END AS status FROM {orders} WHERE o_orderkey % 100 < 70""",
+    # The same states under requests and buckets.
+    "f_request_listing": "SELECT concat('run-', CAST(length(name) % 3 AS VARCHAR(4))) AS request_id, concat('bucket-', right(name, 1)) AS bucket, name, site, event, nstatus FROM {f_site_listing}",
+    # Buckets known before an import; what owners hold when they ask to delete buckets.
+    "f_known_buckets": "SELECT * FROM {f_buckets} WHERE id <> 'bucket-2'",
+    "f_holdings": "SELECT o.site, o.bucket, o.name, CASE WHEN b.client_id = 'client-x' AND o.bucket = 'bucket-1' AND o.site <> 'site-b' AND o.status = 'READY' THEN 'DELETED' ELSE o.status END AS status FROM {f_objects} o JOIN {f_buckets} b ON b.id = o.bucket AND b.site = o.site",
     # Sites' states, sent in two parts: later sites first, then earlier ones with some newer states.
     "f_old_listing": "SELECT name, site, event, nstatus FROM {f_site_listing} WHERE site <> 'site0'",
     "f_new_listing": "SELECT name, site, event + INTERVAL '1' DAY AS event, CASE WHEN nstatus = 20 THEN 10 ELSE nstatus END AS nstatus FROM {f_site_listing} WHERE site IN ('site0', 'site1')",
@@ -44,6 +49,21 @@ FROM {orders} o CROSS JOIN {f_sites} s WHERE (o.o_orderkey*11 + s.i) % 7 <> 0"""
 
 _RANK = "CASE status WHEN 'UNKNOWN' THEN 0 WHEN 'UPLOAD' THEN 1 WHEN 'READY' THEN 2 WHEN 'ERR_UPL' THEN 3 WHEN 'DELETING' THEN 4 WHEN 'DELETED' THEN 5 WHEN 'ERR_DEL' THEN 6 END"
 _REMAPPED = "CASE rank WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 2 WHEN 3 THEN 7 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 4 END"
+
+
+def _actions(table: str, key: str = "name", sites: str = "['site0','site1','site2','site3']") -> str:
+    """The four action rules over the site states in a table."""
+    return _ACTIONS.replace("<table>", table).replace("<key>", key).replace("<sites>", sites)
+
+
+_ACTIONS = """SELECT <key>, action AS need_action, CASE WHEN action IN (2, 30) THEN NULL WHEN n_ready > 0 THEN ready ELSE updated END AS need_action_from,
+ array_to_string(list_sort(list_distinct(list_concat(list_filter(<sites>, lambda x: NOT list_contains(known, x)), CASE WHEN action IN (2, 30) THEN not_deleted ELSE not_ready END))), ',') AS sites, prim
+FROM (SELECT *, CASE WHEN prim IN (1, 2) THEN CASE WHEN undeleted THEN 2 END WHEN prim IN (10, 11) THEN CASE WHEN unready THEN CASE WHEN absent THEN 20 ELSE 11 END END WHEN prim = 20 THEN CASE WHEN held THEN 20 ELSE 30 END END AS action
+ FROM (SELECT <key>, list(nstatus ORDER BY event DESC, nstatus, site)[1] AS prim, list(site) AS known, count(*) FILTER (nstatus = 10) AS n_ready,
+  string_agg(CASE WHEN nstatus = 10 THEN site END, ',' ORDER BY site) AS ready, string_agg(CASE WHEN nstatus = 11 THEN site END, ',' ORDER BY site) AS updated,
+  coalesce(list(site) FILTER (nstatus <> 1), []) AS not_deleted, coalesce(list(site) FILTER (nstatus <> 10), []) AS not_ready,
+  bool_or(nstatus IN (2,10,11,20)) AS undeleted, bool_or(nstatus IN (1,2,11,20)) AS unready, bool_or(nstatus <= 2 OR nstatus >= 20) AS absent, bool_or(nstatus IN (10, 11)) AS held
+  FROM {<table>} GROUP BY <key>) a) b WHERE action IS NOT NULL"""
 #: For oracles alone: what the first steps of a site's run leave.
 ORACLE_SQL = {
     "o_ranked": f"SELECT *, {_RANK} AS rank FROM {{f_objects}}",
@@ -55,14 +75,16 @@ FROM (SELECT * FROM {o_started} WHERE site = 'site-a') o FULL JOIN (SELECT * FRO
  ELSE CASE WHEN db_rank IN (1,3,7) THEN 11 WHEN db_rank = 2 THEN 10 WHEN db_rank IN (4,5,6) THEN 2 END END AS nstatus,
  CASE WHEN db_event >= driver_event OR driver_event IS NULL THEN db_event ELSE driver_event END AS event FROM {o_native}) x WHERE nstatus IS NOT NULL""",
     "o_merged": "SELECT o.* FROM {f_old_listing} o LEFT JOIN {f_new_listing} n ON o.name = n.name AND o.site = n.site WHERE n.site IS NULL UNION ALL SELECT * FROM {f_new_listing}",
-    "o_actions": """SELECT name, action AS need_action, CASE WHEN action IN (2, 30) THEN NULL WHEN n_ready > 0 THEN ready ELSE updated END AS need_action_from,
- array_to_string(list_sort(list_distinct(list_concat(list_filter(['site0','site1','site2','site3'], lambda x: NOT list_contains(known, x)), CASE WHEN action IN (2, 30) THEN not_deleted ELSE not_ready END))), ',') AS sites, prim
-FROM (SELECT *, CASE WHEN prim IN (1, 2) THEN CASE WHEN undeleted THEN 2 END WHEN prim IN (10, 11) THEN CASE WHEN unready THEN CASE WHEN absent THEN 20 ELSE 11 END END WHEN prim = 20 THEN CASE WHEN held THEN 20 ELSE 30 END END AS action
- FROM (SELECT name, list(nstatus ORDER BY event DESC, nstatus, site)[1] AS prim, list(site) AS known, count(*) FILTER (nstatus = 10) AS n_ready,
-  string_agg(CASE WHEN nstatus = 10 THEN site END, ',' ORDER BY site) AS ready, string_agg(CASE WHEN nstatus = 11 THEN site END, ',' ORDER BY site) AS updated,
-  coalesce(list(site) FILTER (nstatus <> 1), []) AS not_deleted, coalesce(list(site) FILTER (nstatus <> 10), []) AS not_ready,
-  bool_or(nstatus IN (2,10,11,20)) AS undeleted, bool_or(nstatus IN (1,2,11,20)) AS unready, bool_or(nstatus <= 2 OR nstatus >= 20) AS absent, bool_or(nstatus IN (10, 11)) AS held
-  FROM {f_site_listing} GROUP BY name) a) b WHERE action IS NOT NULL""",
+    # All sites of the catalog at once, after their stored objects are refreshed.
+    "o_all_states": f"""SELECT bucket, name, site, event, CASE WHEN nstatus = 11 AND stored THEN 10 ELSE nstatus END AS nstatus FROM (SELECT bucket, name, site, db_rank, driver_event IS NOT NULL AS stored,
+ CASE WHEN db_rank IS NULL THEN 11 WHEN driver_event IS NULL THEN CASE WHEN db_rank = 0 THEN 0 WHEN db_rank IN (1,2,3,7) THEN 20 ELSE 1 END WHEN db_rank IN (1,3,7) THEN 11 WHEN db_rank = 2 THEN 10 WHEN db_rank IN (4,5,6) THEN 2 END AS nstatus,
+ CASE WHEN db_event >= driver_event OR driver_event IS NULL THEN db_event ELSE driver_event END AS event FROM (SELECT coalesce(o.site, d.site) AS site, coalesce(o.bucket, d.bucket) AS bucket, coalesce(o.name, d.name) AS name,
+  o.rstatus AS db_rank, o.creation AS db_event, d.event AS driver_event FROM (SELECT *, CASE WHEN creation <= TIMESTAMP '1996-01-01 00:00:00' THEN {_REMAPPED} ELSE rank END AS rstatus FROM {{o_ranked}} WHERE status <> 'UNKNOWN') o
+  FULL JOIN {{f_driver}} d ON o.site = d.site AND o.bucket = d.bucket AND o.name = d.name) x) y WHERE nstatus IS NOT NULL""",
+    "o_actions": _actions("f_site_listing"),
+    "o_central": _actions("o_merged"),
+    "o_requests": _actions("f_request_listing", "request_id, bucket, name"),
+    "o_everything": _actions("o_all_states", "bucket, name", "['site-a','site-b','site-c']"),
 }
 _USED = re.compile(r"\{(\w+)\}")
 

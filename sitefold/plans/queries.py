@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +57,25 @@ query("list_storage", "SELECT * FROM {f_driver} WHERE site = 'site-a' AND bucket
 query("count_storage", "SELECT site, bucket, count(*) AS n FROM {f_driver} GROUP BY ALL")(lambda t: catalog.count_storage(t.f_driver))
 query("list_storage_buckets", "SELECT DISTINCT site, bucket FROM {f_driver}")(lambda t: catalog.list_storage_buckets(t.f_driver))
 LINE = "site string, bucket string, name string, event timestamp_ntz"
-query("export_ndjson", "SELECT site, count(*) AS n FROM {f_driver} GROUP BY 1")(
-    lambda t: catalog.to_json_lines(t.f_driver).groupBy(F.get_json_object("line", "$.site").alias("site")).agg(F.count("*").alias("n"))
-)
-query("import_ndjson", "SELECT site, bucket, name, event FROM {f_driver}")(lambda t: catalog.from_json_lines(catalog.to_json_lines(t.f_driver), LINE))
-query("order_source", "SELECT op_id, bucket_name, object_name, action FROM {f_orders}")(
-    lambda t: catalog.from_json_lines(catalog.to_json_lines(t.f_orders), "op_id long, bucket_name string, object_name string, action string")
+
+
+def exported(t: Tables, rows: DataFrame) -> str:
+    """A folder of compressed JSON lines with the rows."""
+    path = f"{_shared(t.spark)}/lines-{uuid4().hex}"
+    catalog.export_ndjson(rows, path)
+    return path
+
+
+query("export_ndjson", "SELECT site, count(*) AS n, CAST(sum(length(name)) AS BIGINT) AS letters FROM {f_driver} GROUP BY 1")(
+    lambda t: t.spark.read.text(exported(t, t.f_driver)).select(F.get_json_object("value", "$.site").alias("site"), F.length(F.get_json_object("value", "$.name")).alias("n_")).groupBy("site").agg(F.count("*").alias("n"), F.sum("n_").alias("letters"))
 )
+query("import_ndjson", "SELECT site, bucket, name, event FROM {f_driver}")(lambda t: catalog.import_ndjson(t.spark, exported(t, t.f_driver), LINE))
+
+
+@query("order_source", "SELECT op_id, bucket_name, object_name, action FROM {f_orders}")
+def _(t):
+    return _streamed(t, lambda rows: rows.select("op_id", "bucket_name", "object_name", "action"), "append").drop("batch")
+
 
 
 @query("order_sink", "SELECT concat(bucket_name, '/', coalesce(object_name, '')) AS key, count(*) AS n FROM {f_orders} GROUP BY 1")
@@ -72,9 +85,9 @@ def _(t):
     return as_messages(t.f_orders).groupBy("key").agg(F.count("value").alias("n"))
 
 
-query("drop_request_rows", "SELECT bucket, name, 'run-2' AS request_id FROM {f_driver} WHERE site = 'site-b'")(
+query("drop_request_rows", "SELECT bucket, name, 'run-2' AS request_id FROM {f_driver} WHERE site <> 'site-a'")(
     lambda t: mutate.delete_where(
-        t.f_driver.where("site <> 'site-c'").select("bucket", "name", F.when(F.col("site") == SITE, "run-1").otherwise("run-2").alias("request_id")), p.eq("request_id", "run-1")
+        t.f_driver.select("bucket", "name", F.when(F.col("site") == SITE, "run-1").otherwise("run-2").alias("request_id")), p.eq("request_id", "run-1")
     )
 )
 
@@ -241,13 +254,15 @@ query(
 
 
 def runs(t: Tables) -> DataFrame:
-    return t.f_driver.where("site <> 'site-c'").select("bucket", "name", F.when(F.col("site") == SITE, "run-1").otherwise("run-0").alias("request_id"))
+    return t.f_driver.select("bucket", "name", F.when(F.col("site") == SITE, "run-1").otherwise("run-0").alias("request_id"))
 
 
-_RUNS = "(SELECT bucket, name, CASE WHEN site = 'site-a' THEN 'run-1' ELSE 'run-0' END AS request_id FROM {f_driver} WHERE site <> 'site-c')"
+_RUNS = "(SELECT bucket, name, CASE WHEN site = 'site-a' THEN 'run-1' ELSE 'run-0' END AS request_id FROM {f_driver})"
 query("continue_copy", f"SELECT * FROM {_RUNS} a UNION ALL SELECT bucket, name, 'run-2' FROM {_RUNS} b WHERE request_id = 'run-1'")(lambda t: local.continue_copy(runs(t), "run-1", "run-2"))
 query("continue_replace", f"SELECT bucket, name, CASE WHEN request_id = 'run-1' THEN 'run-2' ELSE request_id END AS request_id FROM {_RUNS} a")(lambda t: local.continue_replace(runs(t), "run-1", "run-2"))
-query("assign_ids")(lambda t: local.assign_ids(t.f_driver.select("bucket", "name")))
+query("assign_ids", "SELECT bucket, count(*) AS n, count(*) AS n_ids, 36 * count(*) AS letters FROM {f_driver} GROUP BY 1")(  # the ids themselves are random
+    lambda t: local.assign_ids(t.f_driver.select("bucket", "name")).groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.sum(F.length("id")).alias("letters"))
+)
 query("snapshot_db", "SELECT bucket, name, db_rank, db_event, CAST(NULL AS TIMESTAMP) AS driver_event FROM {o_native} WHERE side <> 'driver_only'")(
     lambda t: flat(local.snapshot_db(empty_native(t), started(t), SITE))
 )
@@ -284,6 +299,18 @@ query(
     "refresh_from_driver",
     "SELECT s.bucket, s.name, CASE WHEN s.nstatus = 11 AND d.name IS NOT NULL THEN 10 ELSE s.nstatus END AS nstatus, s.event FROM {o_states} s LEFT JOIN (SELECT * FROM {f_driver} WHERE site = 'site-a') d ON s.bucket = d.bucket AND s.name = d.name",
 )(lambda t: local.refresh_from_driver(started(t), local.site_states(native_of(t), SITE), t.f_driver, SITE)[1].select("bucket", "name", "nstatus", "event"))
+query(
+    "refresh_native",
+    "SELECT bucket, name, CASE WHEN side = 'driver_only' OR side = 'both' AND db_rank IN (1,3,7) THEN 2 ELSE db_rank END AS db_rank, CASE WHEN side = 'driver_only' OR side = 'both' AND db_rank IN (1,3,7) THEN driver_event ELSE db_event END AS db_event, driver_event FROM {o_native}",
+)(lambda t: flat(local.refresh_native(native_of(t))))
+_STORED = "SELECT *, md5(concat(name, '!')) AS hash, CAST(length(name) AS BIGINT) AS size, event + INTERVAL '30' DAY AS expires FROM {f_driver}"
+query(
+    "refresh_objects",
+    f"""SELECT s.site, s.bucket, s.name, CASE WHEN d.name IS NULL THEN s.status ELSE 'READY' END AS status, CASE WHEN d.name IS NULL THEN s.rstatus ELSE 2 END AS rstatus, coalesce(d.event, s.creation) AS creation, coalesce(d.hash, s.hash) AS hash, coalesce(d.size, s.size) AS size, coalesce(d.expires, s.expires) AS expires
+FROM {{o_started}} s LEFT JOIN (SELECT l.* FROM ({_STORED}) l JOIN {{o_states}} x ON x.bucket = l.bucket AND x.name = l.name AND x.nstatus = 11 WHERE l.site = 'site-a') d ON d.site = s.site AND d.bucket = s.bucket AND d.name = s.name""",
+)(
+    lambda t: local.refresh_from_driver(started(t), local.site_states(native_of(t), SITE), t.spark.sql(_STORED, f_driver=t.f_driver), SITE)[0].select(*ROW, "status", "rstatus", "creation", "hash", "size", "expires")
+)
 query("sites_listing_export", "SELECT bucket, name, 'site-a' AS site, nstatus FROM {o_states}")(
     lambda t: catalog.from_json_lines(catalog.to_json_lines(local.site_states(native_of(t), SITE)), "bucket string, name string, site string, nstatus int")
 )
@@ -301,10 +328,14 @@ query("primary_state", "SELECT name, list(nstatus ORDER BY event DESC, nstatus)[
 query("missing_sites", "SELECT name, array_to_string(list_sort(list_filter(['site0','site1','site2','site3'], lambda x: NOT list_contains(list(site), x))), ',') AS missing FROM {f_site_listing} GROUP BY name")(
     lambda t: central.missing_sites(t.f_site_listing, SITES).select("name", joined("missing"))
 )
-query("target_union", "SELECT name, 'site0,site1,site2,site3' AS targets FROM {f_site_listing} GROUP BY name")(
+query(
+    "target_union",
+    "SELECT name, array_to_string(list_sort(list_distinct(list_concat(list_filter(['site0','site1','site2','site3'], lambda x: NOT list_contains(list(site), x)), coalesce(list(site) FILTER (nstatus <> 10), [])))), ',') AS targets FROM {f_site_listing} GROUP BY name",
+)(
     lambda t: central.missing_sites(t.f_site_listing, SITES)
-    .join(t.f_site_listing.groupBy("name").agg(F.collect_set("site").alias("known")), "name")
-    .select("name", F.array_join(central.target_union(F.col("missing"), F.col("known")), ",").alias("targets"))
+    .join(t.f_site_listing.groupBy("name").agg(F.collect_set(F.when(F.col("nstatus") != m.READY, F.col("site"))).alias("behind")), "name")
+    .select("name", central.target_union(F.col("missing"), F.col("behind")).alias("targets"))
+    .select("name", joined("targets"))
 )
 
 
@@ -331,23 +362,34 @@ query(
         )
     ).select("name", joined("context_sites_done"), joined("still_missing"))
 )
-query("actions_of_request", f"{_ACT} WHERE starts_with(name, 'object_1')")(lambda t: shown(actions(t).where(p.start_with("name", "object_1"))))
+
+
+def requested(t: Tables) -> DataFrame:
+    return central.compute_actions(t.f_request_listing, SITES, ("request_id", "bucket", "name"))
+
+
+query("actions_of_request", _ACT.replace("o_actions", "o_requests") + " WHERE request_id = 'run-1' AND bucket = 'bucket-2'")(lambda t: shown(central.actions_of_request(requested(t), "run-1", "bucket-2")))
+query(
+    "request_totals",
+    """SELECT l.request_id, checked, checked_states, coalesce(actions, 0) AS actions, coalesce(fetches, 0) AS fetches FROM (SELECT request_id, count(DISTINCT concat(bucket, '/', name)) AS checked, count(*) AS checked_states FROM {f_request_listing} GROUP BY 1) l
+LEFT JOIN (SELECT request_id, count(*) AS actions, count(*) FILTER (need_action IN (11, 20)) AS fetches FROM {o_requests} GROUP BY 1) a ON a.request_id = l.request_id""",
+)(lambda t: central.request_totals(t.f_request_listing, requested(t)))
 query("actions_for_site", f"{_ACT} WHERE list_contains(string_split(sites, ','), 'site2')")(lambda t: shown(central.actions_for_site(actions(t), "site2")))
 query("actions_to_orders", "SELECT name, need_action, string_split(need_action_from, ',')[1] AS from_site, unnest(string_split(sites, ',')) AS to_site FROM {o_actions}")(lambda t: central.actions_to_orders(actions(t)))
+_PAIRS = "SELECT site, name, CASE size % 5 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'UPLOAD' WHEN 3 THEN 'UPGRADE' ELSE 'ERR_UPL' END AS action, CASE WHEN size % 7 = 0 THEN NULL ELSE status END AS status FROM {f_objects}"
+_RULES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in central.OUTCOMES)
 query(
     "action_outcome",
-    """SELECT name, action, status, NOT (status = 'UNKNOWN' OR action <> 'DELETE' AND status = 'READY' AND action <> 'UPDATE' OR action = 'UPDATE' AND status IN ('DELETING','DELETED','ERR_DEL') OR action = 'DELETE' AND status = 'DELETED') AS valid,
- CASE WHEN action = 'DELETE' AND status NOT IN ('DELETED','UNKNOWN') THEN 'DELETED' WHEN action = 'UPDATE' AND status IN ('UPLOAD','READY','ERR_UPL') THEN 'READY_IF_STORED' WHEN action = 'UPLOAD' AND status NOT IN ('READY','UNKNOWN') THEN 'READY' END AS db_status
-FROM (SELECT name, status, CASE size % 3 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'UPDATE' ELSE 'UPLOAD' END AS action FROM {f_objects} WHERE site = 'site-a') x""",
-)(
-    lambda t: central.action_outcome(
-        t.f_objects.where(F.col("site") == SITE).select("name", "status", F.when(F.col("size") % 3 == 0, "DELETE").when(F.col("size") % 3 == 1, "UPDATE").otherwise("UPLOAD").alias("action"))
-    ).select("name", "action", "status", "valid", "db_status")
-)
-query("reconcile_central", "SELECT name, count(*) AS n_states, max(event) AS last_event FROM {o_merged} GROUP BY 1")(
+    f"""SELECT site, name, x.action, coalesce(x.status, 'ABSENT') AS status, r.db_status IS NOT NULL AS valid, r.db_status, r.storage_step FROM ({_PAIRS}) x
+LEFT JOIN (VALUES {_RULES}) r(action, status, db_status, storage_step) ON r.action = x.action AND r.status = coalesce(x.status, 'ABSENT')""",
+)(lambda t: central.action_outcome(t.spark.sql(_PAIRS, f_objects=t.f_objects)).select("site", "name", "action", "status", "valid", "db_status", "storage_step"))
+query("reconcile_central", _ACT.replace("o_actions", "o_central"))(lambda t: shown(central.reconcile_central(t.f_old_listing, t.f_new_listing, SITES)))
+query("reconcile_central_actions", "SELECT need_action, count(*) AS n FROM {o_central} GROUP BY 1")(
+    lambda t: central.count_actions(central.reconcile_central(t.f_old_listing, t.f_new_listing, SITES))
+)
+query("merged_states", "SELECT name, count(*) AS n_states, max(event) AS last_event FROM {o_merged} GROUP BY 1")(
     lambda t: central.merge_site_listing(t.f_old_listing, t.f_new_listing).groupBy("name").agg(F.count("*").alias("n_states"), F.max("event").alias("last_event"))
 )
-query("reconcile_central_actions")(lambda t: shown(central.reconcile_central(t.f_old_listing, t.f_new_listing, SITES)))
 
 # --- life cycle ----------------------------------------------------------------------------------
 
@@ -380,8 +422,8 @@ query(
         *ROW, "status", "creation", "expires", F.col("metadata")["imported"].alias("imported")
     )
 )
-query("import_bucket", "SELECT id, client_id, site, status FROM {f_buckets} WHERE id <> 'bucket-2' UNION ALL SELECT DISTINCT bucket, 'client-y', site, 'READY' FROM {f_driver} WHERE bucket = 'bucket-2'")(
-    lambda t: lifecycle.import_bucket(t.f_buckets.where("id <> 'bucket-2'"), t.f_driver.select(F.col("bucket").alias("id"), F.lit("client-y").alias("client_id"), "site").distinct())
+query("import_bucket", "SELECT id, client_id, site, status FROM {f_known_buckets} UNION ALL SELECT DISTINCT bucket, 'client-y', site, 'READY' FROM {f_driver} WHERE bucket = 'bucket-2'")(
+    lambda t: lifecycle.import_bucket(t.f_known_buckets, t.f_driver.select(F.col("bucket").alias("id"), F.lit("client-y").alias("client_id"), "site").distinct())
 )
 query("sync_site", "SELECT bucket, name, 20 AS need_action, 'site-a' AS need_action_from, 'site-z' AS sites FROM {f_objects} WHERE site = 'site-a' AND bucket = 'bucket-1' AND status = 'READY' AND starts_with(name, 'dir5/')")(
     lambda t: lifecycle.sync_site(t.f_objects, t.f_buckets, SITE, "bucket-1", "site-z", p.start_with("name", "dir5/")).select("bucket", "name", "need_action", joined("need_action_from"), joined("sites"))
@@ -433,10 +475,10 @@ def wanted_buckets(t: Tables) -> DataFrame:
 
 
 def own_buckets(t: Tables) -> DataFrame:
-    return t.f_buckets.where("site = 'site-a' and id <> 'bucket-2'")
+    return t.f_known_buckets.where("site = 'site-a'")
 
 
-query("apply_create_bucket", "SELECT op_id, bucket_name, CASE WHEN bucket_name IN ('bucket-2', 'bucket-3') THEN 'READY' ELSE 'ALREADY_EXIST' END AS outcome FROM {f_orders} WHERE object_name IS NULL")(
+query("apply_create_bucket", "SELECT op_id, bucket_name, CASE WHEN b.id IS NULL OR b.status = 'DELETED' THEN 'READY' ELSE 'ALREADY_EXIST' END AS outcome FROM {f_orders} LEFT JOIN (SELECT * FROM {f_known_buckets} WHERE site = 'site-a') b ON b.id = bucket_name WHERE object_name IS NULL")(
     lambda t: orders.apply_create_bucket(wanted_buckets(t), own_buckets(t)).select("op_id", "bucket_name", "outcome")
 )
 query(
@@ -471,25 +513,25 @@ query(
 query("order_counters", f"SELECT kind, CASE WHEN op_id % 10 = 0 THEN 'error' WHEN step = 'create' THEN 'created' WHEN step = 'delete' THEN 'deleted' ELSE 'error' END AS tag, count(*) AS n FROM ({_CLASS}) c GROUP BY 1, 2")(
     lambda t: orders.order_counters(orders.classify_orders(t.f_orders).withColumn("failed", F.col("op_id") % 10 == 0))
 )
-TOPOLOGY = "SELECT DISTINCT site AS id, CASE WHEN site = 'site-b' THEN 'DOWN' ELSE 'UP' END AS status FROM {f_objects}"
+TOPOLOGY = "SELECT DISTINCT site AS id, 'UP' AS status FROM {f_objects}"
 
 
 def topology(t: Tables) -> DataFrame:
     return t.spark.sql(TOPOLOGY, f_objects=t.f_objects)
 
 
-query("locate_remote", "SELECT DISTINCT bucket, name, 'site-c' AS remote FROM {f_objects} WHERE site = 'site-c' AND status = 'READY'")(
+query("locate_remote", "SELECT bucket, name, min(site) AS remote FROM {f_objects} WHERE site <> 'site-a' AND status = 'READY' GROUP BY 1, 2")(
     lambda t: orders.locate_remote(t.f_objects.where("status = 'READY'").select(*ROW), topology(t), SITE)
 )
 _LOST = "NOT EXISTS (SELECT 1 FROM {f_objects} a WHERE a.site = 'site-a' AND a.bucket = o.bucket AND a.name = o.name)"
-query("fix_on_absent", f"SELECT 'site-c' AS from_site, 'site-a' AS to_site, bucket AS bucket_name, name AS object_name, 'CREATE' AS action FROM {{f_objects}} o WHERE site = 'site-c' AND status = 'READY' AND {_LOST}")(
+query("fix_on_absent", f"SELECT min(site) AS from_site, 'site-a' AS to_site, bucket AS bucket_name, name AS object_name, 'CREATE' AS action FROM {{f_objects}} o WHERE site <> 'site-a' AND status = 'READY' AND {_LOST} GROUP BY bucket, name")(
     lambda t: orders.fix_on_absent(t.f_objects, topology(t), SITE)
 )
 query(
     "check_pullable",
-    """SELECT w.bucket, w.name, CASE WHEN a.name IS NOT NULL AND d.name IS NOT NULL THEN 'site-a' WHEN c.name IS NOT NULL THEN 'site-c' END AS pull_from FROM (SELECT DISTINCT bucket, name FROM {f_objects}) w
+    """SELECT w.bucket, w.name, CASE WHEN a.name IS NOT NULL AND d.name IS NOT NULL THEN 'site-a' ELSE c.site END AS pull_from FROM (SELECT DISTINCT bucket, name FROM {f_objects}) w
 LEFT JOIN (SELECT * FROM {f_objects} WHERE site = 'site-a' AND status = 'READY') a ON a.bucket = w.bucket AND a.name = w.name LEFT JOIN (SELECT * FROM {f_driver} WHERE site = 'site-a') d ON d.bucket = w.bucket AND d.name = w.name
-LEFT JOIN (SELECT * FROM {f_objects} WHERE site = 'site-c' AND status = 'READY') c ON c.bucket = w.bucket AND c.name = w.name""",
+LEFT JOIN (SELECT bucket, name, min(site) AS site FROM {f_objects} WHERE site <> 'site-a' AND status = 'READY' GROUP BY 1, 2) c ON c.bucket = w.bucket AND c.name = w.name""",
 )(lambda t: orders.check_pullable(t.f_objects.select("bucket", "name").distinct(), t.f_objects, t.f_driver, topology(t), SITE))
 
 # --- streaming: the table's rows as files, read as a stream ---------------------------------------
@@ -497,8 +539,6 @@ LEFT JOIN (SELECT * FROM {f_objects} WHERE site = 'site-c' AND status = 'READY')
 
 def _streamed(t: Tables, out, mode: str) -> DataFrame:
     """Writes orders as JSON files to the shared folder, runs the stream over them, and reads what it wrote."""
-    from uuid import uuid4
-
     from ..streaming import orders as s
 
     spark = t.spark
@@ -567,11 +607,11 @@ query("right_fusion", "SELECT client, bucket, bit_or(code) AS code FROM {f_owner
 query("rights_of_client", "SELECT client, bucket, bit_or(code) AS code FROM {f_ownership} WHERE client = 'client-3' GROUP BY 1, 2 HAVING (bit_or(code) & 2) = 2")(lambda t: rights.rights_of_client(t.f_ownership, "client-3", m.WRITE))
 query("sites_up", "SELECT id, status FROM {f_topology} WHERE status = 'UP'")(lambda t: rights.sites_by_status(t.f_topology))
 query("buckets_of_client", "SELECT id, client_id, site, status FROM {f_buckets} WHERE client_id = 'client-y'")(lambda t: rights.buckets_of_client(t.f_buckets, "client-y"))
-query("bucket_state", "SELECT bucket, CASE WHEN bucket = 'bucket-3' THEN 'gone' WHEN bucket IN ('bucket-0','bucket-1','bucket-2') THEN 'ok' ELSE 'absent' END AS state FROM (SELECT DISTINCT bucket FROM {f_ownership}) x")(
+query("bucket_state", "SELECT bucket, CASE WHEN b.id IS NULL THEN 'absent' WHEN b.status = 'READY' THEN 'ok' WHEN b.status = 'DELETED' THEN 'gone' ELSE 'error' END AS state FROM (SELECT DISTINCT bucket FROM {f_ownership}) x LEFT JOIN (SELECT * FROM {f_buckets} WHERE site = 'site-a') b ON b.id = x.bucket")(
     lambda t: rights.bucket_state(t.f_ownership.select("bucket").distinct(), t.f_buckets, SITE)
 )
-query("bucket_deletable", "SELECT id, site FROM {f_buckets} b WHERE client_id = 'client-x' AND status = 'READY' AND NOT EXISTS (SELECT 1 FROM {f_objects} o WHERE o.site = b.site AND o.bucket = b.id AND o.status = 'READY' AND o.size % 2 = 0 AND o.site <> 'site-c')")(
-    lambda t: rights.deletable_buckets(t.f_buckets, t.f_objects.where("size % 2 = 0 and site <> 'site-c'"), CLIENT).select("id", "site")
+query("bucket_deletable", "SELECT id, site FROM {f_buckets} b WHERE client_id = 'client-x' AND status = 'READY' AND NOT EXISTS (SELECT 1 FROM {f_holdings} o WHERE o.site = b.site AND o.bucket = b.id AND o.status = 'READY')")(
+    lambda t: rights.deletable_buckets(t.f_buckets, t.f_holdings, CLIENT).select("id", "site")
 )
 
 # --- content, names, metrics ---------------------------------------------------------------------

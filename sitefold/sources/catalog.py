@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,7 @@ def list_storage_files(spark: SparkSession, root: str, bucket: str, glob: str |
         rows = rows.where(F.col("modificationTime") >= F.lit(after))
     if before is not None:
         rows = rows.where(F.col("modificationTime") <= F.lit(before))
-    name = F.regexp_replace(F.col("path"), "^.*?/" + bucket + "/", "")
+    name = F.regexp_replace(F.col("path"), "^.*?/" + re.escape(bucket) + "/", "")
     return rows.select(F.lit(bucket).alias("bucket"), name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("event"))
 
 
@@ -66,8 +67,8 @@ def list_storage_buckets(listing: DataFrame) -> DataFrame:
     return listing.select("site", "bucket").distinct()
 
 
-def export_ndjson(rows: DataFrame, path: str, compression: str = "zstd") -> None:
-    """One JSON object a line; ``zstd`` falls back to what the file system's codecs have if asked for another."""
+def export_ndjson(rows: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One JSON object a line, in compressed files. ``zstd`` needs Hadoop's native codec; gzip is always there."""
     rows.write.option("compression", compression).option("timestampNTZFormat", TIME).json(path)
 
 
