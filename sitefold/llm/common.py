@@ -80,8 +80,11 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     now = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    before = None
     for _ in range(limit):
+        # Settled, if every id has one root, which has none itself.
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("v").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("id").agg(F.sum("below").alias("n"), F.max("above").alias("above")).where("n > 1 or n + above > 1").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -90,10 +93,6 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         now = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
@@ -111,10 +110,13 @@ def bit_filter(hashes: DataFrame) -> np.ndarray:
     """``FILTER_BITS`` bits, set where a hash in column h falls: a fixed size. It only spares rows a join that would drop them."""
 
     def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            bits[_bit(batch.column("h").to_numpy().view(np.uint64))] = True
-        rows = [(i, zlib.compress(np.packbits(x).tobytes(), 1)) for i, x in enumerate(bits.reshape(-1, FILTER_BLOCK)) if x.any()]
+            at = np.unique(_bit(batch.column("h").to_numpy().view(np.uint64)))
+            for block in np.unique(at // FILTER_BLOCK).tolist():
+                own = at[slice(*np.searchsorted(at, [block * FILTER_BLOCK, (block + 1) * FILTER_BLOCK]))] - block * FILTER_BLOCK
+                blocks.setdefault(block, np.zeros(FILTER_BLOCK, bool))[own] = True
+        rows = [(i, zlib.compress(np.packbits(x).tobytes(), 1)) for i, x in blocks.items()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bits"])
 
     def either(frame: pd.DataFrame) -> pd.DataFrame:
@@ -124,7 +126,7 @@ def bit_filter(hashes: DataFrame) -> np.ndarray:
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     step = FILTER_BLOCK // 8
     form = "block int, bits binary"
-    for row in hashes.mapInArrow(mark, form).groupBy("block").applyInPandas(either, form).toLocalIterator():
+    for row in hashes.mapInArrow(mark, form).groupBy("block").applyInPandas(either, form).collect():  # FILTER_BITS bits in all
         out[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 
