@@ -4,7 +4,7 @@ Vectors are compared within their label. A label's vectors are dealt to cells by
 projections, in as many tables as recall needs; bits and tables grow with the logarithm of the largest
 label, so cells keep their size. Within a cell many one-dimensional projections are sorted, a pair
 counts one collision for each projection in which it lies in the window centred on the other, and
-pairs with enough collisions are verified by the cosine in double precision. Window and count are
+pairs with enough collisions, and no others, are verified by the cosine in double precision. Window and count are
 calibrated to miss fewer than ``MISS`` of the pairs that just reach the threshold.
 
 Equal vectors are one representative with a multiplicity. A cell of many rows, such as a large group
@@ -25,6 +25,7 @@ from .common import connected_components, staged
 
 LEAST, MISS = 0.93, 0.001
 CELL, BLOCK = 1000, 1000
+PAIRS = 1 << 16
 PROJECTIONS = 24
 
 
@@ -71,9 +72,12 @@ def _linked(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> tuple[np.
     passing = count >= enough
     if same:
         passing &= np.tri(len(x), k=-1, dtype=bool).T
-    rows = np.flatnonzero(passing.any(1))
-    i, j = np.nonzero(passing[rows] & (x[rows] @ y.T >= least))
-    return rows[i], j
+    i, j = np.nonzero(passing)
+    linked = np.zeros(len(i), bool)
+    for at in range(0, len(i), PAIRS):  # the passing pairs alone, some at a time
+        some = slice(at, at + PAIRS)
+        linked[some] = np.einsum("ij,ij->i", x[i[some]], y[j[some]]) >= least
+    return i[linked], j[linked]
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
