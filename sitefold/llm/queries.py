@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .extract import extract_text
+from .forest import nearest_of_fiftieths
 from .minhash import near_duplicates
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_digests
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .repeats import repeat_digests
+from .runs import run_digests
 from .secrets import secret_digests
 from .toxicity import toxicity_scores
 from .vectors import link_vectors
 from .warc import archive_round_trip
+from .whitening import whitened_vectors
 
 
 def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -39,6 +42,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack": _on("documents", lambda docs: pack_documents(docs, ids=False)),
         "op9_secrets": _on("documents", secret_digests),
         "op10_quality": _with_labels(quality_verdicts),
+        "op11_forest": _on("embeddings", nearest_of_fiftieths),
+        "op12_runs": _on("documents", run_digests),
+        "op13_whitening": _on("embeddings", whitened_vectors),
     }
 
 
