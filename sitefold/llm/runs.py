@@ -180,9 +180,11 @@ def find_runs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     every = np.flatnonzero(sizes >= LEAST)
     x, starts = joined(every)
     i, q = _grid_places(x, int(sizes.max()))
+    own = np.searchsorted(starts, i, "right") - 1
+    inside = i + q < starts[own] + sizes[every[own]]  # else two texts hold the same words
+    i, q, own = i[inside], q[inside], own[inside]
     if not len(i):
         return none
-    own = np.searchsorted(starts, i, "right") - 1
     some = np.unique(own)
     offset = i - starts[own]
     x, starts = joined(every[some])
