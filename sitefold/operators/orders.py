@@ -6,11 +6,13 @@ where known; ``ts`` and op_id give the order of arrival.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import model as m
 from ..functions import names
+from ..sources.catalog import TIME
 
 SAME = ["from_site", "to_site", "client_id", "bucket_name", "object_name", "size", "hash", "action"]
 
@@ -42,6 +44,23 @@ def group_orders(routed: DataFrame) -> DataFrame:
     return routed.groupBy("to_site").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "CREATE").alias("n_create"), F.count_if(F.col("action") == "DELETE").alias("n_delete"))
 
 
+def write_by_target(routed: DataFrame, path: str, parts: int = 64) -> None:
+    """The orders in one folder per target site, files of successive times within it, each in order of arrival.
+
+    Rows are dealt out by ranges of (site, time, order), so a site with most orders is cut into as many
+    parts as it has shares, and no task holds them all.
+    """
+    order = ["to_site", "ts", "op_id"]
+    dealt = routed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt.write.partitionBy("to_site").option("timestampNTZFormat", TIME).json(path)
+
+
+def read_by_target(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_by_target`` has written; asking for a site reads its folder alone."""
+    rows = spark.read.schema(schema).option("timestampNTZFormat", TIME).json(path)
+    return rows.select(*T.StructType.fromDDL(schema).names)
+
+
 def dedup_orders(orders: DataFrame) -> DataFrame:
     """One order of those that are equal but for op_id (and arrival): the first."""
     same = [c for c in SAME if c in orders.columns]
@@ -119,33 +138,84 @@ def apply_delete_object(wanted: DataFrame, objects: DataFrame) -> DataFrame:
     return _with_object(wanted, objects).select(*wanted.columns, outcome.alias("outcome"))
 
 
-def fold_orders(orders: DataFrame, objects: DataFrame) -> DataFrame:
-    """Orders on objects of open buckets, in order of arrival: bucket_name, object_name, final_status (null: absent), errors.
+#: Parts of the time line in which orders are folded apart.
+RANGES = 64
+OBJECT = ["bucket_name", "object_name"]
+
+
+def object_orders(orders: DataFrame) -> DataFrame:
+    """The orders that change an object."""
+    return orders.where(F.col("action").isin("CREATE", "DELETE") & (F.length("object_name") > 0))
+
+
+def _micros(ts: Column) -> Column:
+    """Microseconds of a time without zone, in no zone: they rise as the times do."""
+    seconds = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1000000 + (F.extract(F.lit("SECONDS"), ts) * 1000000).cast("long")
+
+
+def time_range(orders: DataFrame, ranges: int = RANGES) -> Column:
+    """Number of the part of the time line that an order falls in, parts holding about as many orders each; null times come first.
 
-    Between orders an object rests READY or not, so each order's outcome hangs on the one before it
-    alone: CREATE on READY and DELETE on anything else fail and change nothing. An object that starts
-    in any other status refuses both and keeps it.
+    One aggregation over the times finds the cuts. Orders of one microsecond stay together.
     """
-    key = ["bucket_name", "object_name"]
-    rows = orders.where(F.col("action").isin("CREATE", "DELETE") & (F.length("object_name") > 0))
-    rows = _with_object(rows, objects).withColumnRenamed("status", "start")
-    before = F.lag("action").over(Window.partitionBy(*key).orderBy("ts", "op_id"))
-    ready = F.coalesce(before == "CREATE", F.col("start") == "READY", F.lit(False))
-    stuck = F.coalesce(~F.col("start").isin("READY", "DELETED"), F.lit(False))
-    failed = stuck | (F.when(F.col("action") == "CREATE", ready).otherwise(~ready))
-    rows = rows.withColumn("failed", failed)
-    g = rows.groupBy(*key).agg(
-        F.first("start").alias("start"),
-        F.max_by("action", F.struct("ts", "op_id")).alias("last"),
+    shares = [k / ranges for k in range(1, ranges)]
+    micros = _micros(F.col("ts")) if orders.schema["ts"].dataType == T.TimestampNTZType() else F.unix_micros("ts")
+    cuts = orders.agg(F.percentile_approx(micros, shares, 100 * ranges)).first()[0] or []  # one array of ``ranges`` numbers
+    return F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<long>"), lambda c: c < micros))
+
+
+def fold_ranges(orders: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """Orders of each object and part of the time line as one transition: n, errors, first, last, created.
+
+    Between orders an object rests READY or not, so an order's outcome hangs on the one before it alone:
+    CREATE after CREATE and DELETE after DELETE fail. A transition therefore is its first and last action
+    and the failures between; two in a row compose to one by ``compose_ranges``, in any grouping.
+    An object's orders are dealt out over the parts, so one with most orders needs no task for all.
+    """
+    rows = object_orders(orders).withColumn("range", time_range(orders, ranges))
+    rows = rows.withColumn("before", F.lag("action").over(Window.partitionBy(*OBJECT, "range").orderBy("ts", "op_id")))
+    place = F.struct("ts", "op_id")
+    return rows.groupBy(*OBJECT, "range").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("action") == F.col("before")).alias("errors"),
+        F.min_by("action", place).alias("first"),
+        F.max_by("action", place).alias("last"),
         F.bool_or(F.col("action") == "CREATE").alias("created"),
-        F.count_if("failed").alias("errors"),
     )
+
+
+def compose_ranges(transitions: DataFrame) -> DataFrame:
+    """One transition per object from those of successive ranges: a failure more wherever one begins as the one before ends."""
+    before = F.lag("last").over(Window.partitionBy(*OBJECT).orderBy("range"))
+    return transitions.withColumn("before", before).groupBy(*OBJECT).agg(
+        F.min("range").alias("range"),
+        F.sum("n").alias("n"),
+        (F.sum("errors") + F.count_if(F.col("before") == F.col("first"))).alias("errors"),
+        F.min_by("first", "range").alias("first"),
+        F.max_by("last", "range").alias("last"),
+        F.bool_or("created").alias("created"),
+    )
+
+
+def fold_orders(orders: DataFrame, objects: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """Orders on objects of open buckets, in order of arrival: bucket_name, object_name, final_status (null: absent), errors.
+
+    CREATE on READY and DELETE on anything else fail and change nothing. An object that starts in any
+    status but READY and DELETED refuses both and keeps it. Orders are composed to one transition per
+    object before the catalog is joined, which then meets as many rows as objects.
+    """
+    rows = _with_object(compose_ranges(fold_ranges(orders, ranges)), objects)
+    start = F.col("status")
+    stuck = F.coalesce(~start.isin("READY", "DELETED"), F.lit(False))
+    refused = (F.col("first") == "CREATE") == F.coalesce(start == "READY", F.lit(False))
     final = (
-        F.when(F.coalesce(~F.col("start").isin("READY", "DELETED"), F.lit(False)), F.col("start"))
+        F.when(stuck, start)
         .when(F.col("last") == "CREATE", "READY")
-        .when(F.col("start").isNotNull() | F.col("created"), "DELETED")
+        .when(start.isNotNull() | F.col("created"), "DELETED")
     )
-    return g.select(*key, final.alias("final_status"), "errors")
+    errors = F.when(stuck, F.col("n")).otherwise(F.col("errors") + refused.cast("long"))
+    return rows.select(*OBJECT, final.alias("final_status"), errors.alias("errors"))
 
 
 def order_counters(outcomes: DataFrame) -> DataFrame:

@@ -29,14 +29,15 @@ FROM {orders} o CROSS JOIN {f_sites} s WHERE (o.o_orderkey*11 + s.i) % 7 <> 0"""
  max(l_shipdate) AS event, CASE min(l_partkey) % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 10 WHEN 3 THEN 11 ELSE 20 END AS nstatus FROM {lineitem} GROUP BY 1,2""",
     "f_orders": """SELECT event_id AS op_id, ts, concat('site', CAST(user_id % 3 AS VARCHAR(4))) AS from_site, CASE WHEN user_id % 5 = 0 THEN concat('site', CAST(event_id % 3 AS VARCHAR(4))) END AS to_site,
  concat('client-', CAST(user_id % 7 AS VARCHAR(4))) AS client_id, concat('bucket-', CAST(user_id % 4 AS VARCHAR(4))) AS bucket_name,
- CASE WHEN event_type='signup' THEN NULL ELSE concat('object_', regexp_extract(props, '([0-9]+)', 1)) END AS object_name, CASE event_type WHEN 'click' THEN 'DELETE' WHEN 'error' THEN 'UNKNOWN' ELSE 'CREATE' END AS action FROM {events}""",
+ CASE WHEN event_type='signup' THEN NULL ELSE concat('object_', CAST(user_id AS VARCHAR(20)), '_', right(regexp_extract(props, '([0-9]+)', 1), 1)) END AS object_name, CASE event_type WHEN 'click' THEN 'DELETE' WHEN 'error' THEN 'UNKNOWN' ELSE 'CREATE' END AS action FROM {events}""",
     "f_ownership": "SELECT concat('client-', CAST(c_nationkey AS VARCHAR(4))) AS client, concat('bucket-', CAST(c_custkey % 40 AS VARCHAR(4))) AS bucket, CAST(c_custkey % 8 AS INT) AS code FROM {customer}",
     "f_content": "SELECT doc_id, lang AS bucket, concat(source,'/',CAST(doc_id AS VARCHAR(20))) AS name, text, n_chars, CASE WHEN doc_id % 17 = 0 THEN md5('corrupt') ELSE md5(text) END AS stored_hash FROM {documents}",
-    # Sites that orders go to: site2 is down.
+    # Sites that hold objects, and sites that orders go to: one of each is down.
+    "f_sites_up": "SELECT site AS id, CASE WHEN site = 'site-b' THEN 'DOWN' ELSE 'UP' END AS status FROM {f_sites}",
     "f_topology": "SELECT DISTINCT from_site AS id, CASE WHEN from_site = 'site2' THEN 'DOWN' ELSE 'UP' END AS status FROM {f_orders}",
-    # Objects that orders act on, with every status.
-    "f_targets": """SELECT DISTINCT concat('bucket-', CAST(o_custkey % 4 AS VARCHAR(4))) AS bucket, concat('object_', CAST(o_orderkey % 100 AS VARCHAR(20))) AS name,
- CASE (o_custkey % 4 + o_orderkey % 100) % 6 WHEN 0 THEN 'UPLOAD' WHEN 1 THEN 'DELETED' WHEN 2 THEN 'ERR_UPL' ELSE 'READY' END AS status FROM {orders} WHERE o_orderkey % 100 < 70""",
+    # Objects that orders act on, of ten times as many users as send orders, with every status; bucket-1 holds none that is READY.
+    "f_targets": """SELECT DISTINCT concat('bucket-', CAST(o_custkey % 4 AS VARCHAR(4))) AS bucket, concat('object_', CAST(o_custkey AS VARCHAR(20)), '_', CAST(o_orderkey % 10 AS VARCHAR(20))) AS name,
+ CASE WHEN o_custkey % 4 = 1 THEN CASE o_orderkey % 2 WHEN 0 THEN 'DELETED' ELSE 'DELETING' END ELSE CASE (o_custkey + o_orderkey % 10) % 6 WHEN 0 THEN 'UPLOAD' WHEN 1 THEN 'DELETED' WHEN 2 THEN 'ERR_UPL' ELSE 'READY' END END AS status FROM {orders}""",
     # The same states under requests and buckets.
     "f_request_listing": "SELECT concat('run-', CAST(length(name) % 3 AS VARCHAR(4))) AS request_id, concat('bucket-', right(name, 1)) AS bucket, name, site, event, nstatus FROM {f_site_listing}",
     # Buckets known before an import; what owners hold when they ask to delete buckets.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime
 from uuid import uuid4
 
@@ -78,11 +79,16 @@ def _(t):
 
 
 
-@query("order_sink", "SELECT concat(bucket_name, '/', coalesce(object_name, '')) AS key, count(*) AS n FROM {f_orders} GROUP BY 1")
+@query("order_sink", "SELECT op_id, ts, from_site, to_site, client_id, bucket_name, object_name, action, CAST(1 AS BIGINT) AS copies FROM {f_orders}")
 def _(t):
-    from ..streaming.orders import as_messages
+    """Two runs of the file sink with a restart between, read back by its log."""
+    from ..streaming import orders as s
 
-    return as_messages(t.f_orders).groupBy("key").agg(F.count("value").alias("n"))
+    base = f"{_shared(t.spark)}/sink-{uuid4().hex}"
+    for _ in arriving(t, base):
+        s.write_files(s.read_files(t.spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    written = s.read_written(t.spark, f"{base}/out")
+    return written.groupBy(*t.f_orders.columns).agg(F.count("*").alias("copies"))
 
 
 query("drop_request_rows", "SELECT bucket, name, 'run-2' AS request_id FROM {f_driver} WHERE site <> 'site-a'")(
@@ -377,11 +383,14 @@ LEFT JOIN (SELECT request_id, count(*) AS actions, count(*) FILTER (need_action
 query("actions_for_site", f"{_ACT} WHERE list_contains(string_split(sites, ','), 'site2')")(lambda t: shown(central.actions_for_site(actions(t), "site2")))
 query("actions_to_orders", "SELECT name, need_action, string_split(need_action_from, ',')[1] AS from_site, unnest(string_split(sites, ',')) AS to_site FROM {o_actions}")(lambda t: central.actions_to_orders(actions(t)))
 _PAIRS = "SELECT site, name, CASE size % 5 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'UPLOAD' WHEN 3 THEN 'UPGRADE' ELSE 'ERR_UPL' END AS action, CASE WHEN size % 7 = 0 THEN NULL ELSE status END AS status FROM {f_objects}"
-_RULES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in central.OUTCOMES)
+# The published table as rules, written apart from the operator's rows.
+_NEED = "CASE WHEN action = 'DELETE' THEN status <> 'DELETED' WHEN action = 'UPDATE' THEN status IN ('UPLOAD', 'READY', 'ERR_UPL', 'ABSENT') WHEN action IN ('UPLOAD', 'UPGRADE') THEN status <> 'READY' ELSE status IN ('UPLOAD', 'ERR_UPL') END AND status <> 'UNKNOWN'"
 query(
     "action_outcome",
-    f"""SELECT site, name, x.action, coalesce(x.status, 'ABSENT') AS status, r.db_status IS NOT NULL AS valid, r.db_status, r.storage_step FROM ({_PAIRS}) x
-LEFT JOIN (VALUES {_RULES}) r(action, status, db_status, storage_step) ON r.action = x.action AND r.status = coalesce(x.status, 'ABSENT')""",
+    f"""SELECT site, name, action, status, valid,
+ CASE WHEN valid THEN CASE action WHEN 'DELETE' THEN CASE status WHEN 'ABSENT' THEN 'IGNORE' ELSE 'DELETED' END WHEN 'UPDATE' THEN CASE status WHEN 'ABSENT' THEN 'READY_WITH_UPLOAD' ELSE 'READY_IF_STORED' END WHEN 'ERR_UPL' THEN 'ERR_UPL' ELSE 'READY' END END AS db_status,
+ CASE WHEN valid THEN CASE action WHEN 'DELETE' THEN 'DELETE_IF_EXISTS' WHEN 'UPLOAD' THEN 'UPLOAD' WHEN 'UPGRADE' THEN 'UPLOAD_IF_NEEDED' WHEN 'ERR_UPL' THEN 'NOTHING' ELSE CASE status WHEN 'ABSENT' THEN 'UPLOAD' WHEN 'READY' THEN NULL ELSE 'UPLOAD_IF_NEEDED' END END END AS storage_step
+FROM (SELECT *, {_NEED} AS valid FROM (SELECT site, name, action, coalesce(status, 'ABSENT') AS status FROM ({_PAIRS}) x) y) z""",
 )(lambda t: central.action_outcome(t.spark.sql(_PAIRS, f_objects=t.f_objects)).select("site", "name", "action", "status", "valid", "db_status", "storage_step"))
 query("reconcile_central", _ACT.replace("o_actions", "o_central"))(lambda t: shown(central.reconcile_central(t.f_old_listing, t.f_new_listing, SITES)))
 query("reconcile_central_actions", "SELECT need_action, count(*) AS n FROM {o_central} GROUP BY 1")(
@@ -434,10 +443,10 @@ query("copy_objects", "SELECT site, 'copies' AS bucket, concat(name, '.bak') AS
 
 
 def buffered(t: Tables) -> DataFrame:
-    return t.f_objects.where("site <> 'site-b'").groupBy("bucket", "name").agg(F.max("size").alias("length"), (F.max("size") % 5 != 0).alias("has_content"), F.max("creation").alias("modified"), (F.max("size") % 2 == 0).alias("is_metadata"))
+    return t.f_objects.groupBy("bucket", "name").agg(F.max("size").alias("length"), (F.max("size") % 5 != 0).alias("has_content"), F.max("creation").alias("modified"), (F.max("size") % 2 == 0).alias("is_metadata"))
 
 
-_BUF = "(SELECT bucket, name, max(size) AS length, max(size) % 5 <> 0 AS has_content, max(creation) AS modified, max(size) % 2 = 0 AS is_metadata FROM {f_objects} WHERE site <> 'site-b' GROUP BY 1, 2)"
+_BUF = "(SELECT bucket, name, max(size) AS length, max(size) % 5 <> 0 AS has_content, max(creation) AS modified, max(size) % 2 = 0 AS is_metadata FROM {f_objects} GROUP BY 1, 2)"
 query(
     "buffer_retry",
     f"""SELECT i.bucket, i.name, CASE WHEN o.status IS NULL OR o.status <> 'READY' THEN 'drop_not_ready' WHEN i.bucket = 'bucket-3' THEN 'error_bucket_gone' WHEN d.name IS NOT NULL THEN 'drop_stored' WHEN NOT i.has_content THEN 'error_content_gone' ELSE 'retry' END AS decision
@@ -457,9 +466,18 @@ query("fan_out_orders", _ROUTED)(lambda t: orders.fan_out_orders(t.f_orders, t.f
 query("unroutable_orders", f"SELECT op_id, from_site, to_site FROM {{f_orders}} WHERE to_site IS NOT NULL AND (to_site = from_site OR to_site NOT IN {_UP})")(
     lambda t: orders.fan_out_orders(t.f_orders, t.f_topology)[1].select("op_id", "from_site", "to_site")
 )
-query("group_orders", f"SELECT to_site, count(*) AS n, count(*) FILTER (action = 'CREATE') AS n_create, count(*) FILTER (action = 'DELETE') AS n_delete FROM ({_ROUTED}) r GROUP BY 1")(
-    lambda t: orders.group_orders(orders.fan_out_orders(t.f_orders, t.f_topology)[0])
-)
+
+
+@query("group_orders", f"SELECT to_site, count(*) AS n, count(*) FILTER (action = 'CREATE') AS n_create, count(*) FILTER (action = 'DELETE') AS n_delete FROM ({_ROUTED}) r GROUP BY 1")
+def _(t):
+    """Written to a folder for each target, and counted from there."""
+    from ..streaming.orders import ORDER
+
+    path = f"{_shared(t.spark)}/targets-{uuid4().hex}"
+    orders.write_by_target(orders.fan_out_orders(t.f_orders, t.f_topology)[0], path)
+    return orders.group_orders(orders.read_by_target(t.spark, path, ORDER))
+
+
 query("dedup_orders", "SELECT min(op_id) AS op_id, min(ts) AS ts, from_site, to_site, client_id, bucket_name, object_name, action FROM {f_orders} GROUP BY ALL")(lambda t: orders.dedup_orders(t.f_orders))
 _CLASS = "SELECT op_id, CASE WHEN coalesce(object_name, '') = '' THEN 'bucket' ELSE 'object' END AS kind, CASE WHEN action IN ('CREATE','DELETE') THEN lower(action) ELSE 'other' END AS step FROM {f_orders}"
 query("classify_orders", _CLASS)(lambda t: orders.classify_orders(t.f_orders).select("op_id", "kind", "step"))
@@ -481,13 +499,14 @@ def own_buckets(t: Tables) -> DataFrame:
 query("apply_create_bucket", "SELECT op_id, bucket_name, CASE WHEN b.id IS NULL OR b.status = 'DELETED' THEN 'READY' ELSE 'ALREADY_EXIST' END AS outcome FROM {f_orders} LEFT JOIN (SELECT * FROM {f_known_buckets} WHERE site = 'site-a') b ON b.id = bucket_name WHERE object_name IS NULL")(
     lambda t: orders.apply_create_bucket(wanted_buckets(t), own_buckets(t)).select("op_id", "bucket_name", "outcome")
 )
+_OWN = "(SELECT * FROM {f_known_buckets} WHERE site = 'site-a')"
 query(
     "apply_delete_bucket",
-    """SELECT op_id, bucket_name, CASE WHEN bucket_name = 'bucket-2' THEN 'NOT_EXIST' WHEN bucket_name = 'bucket-3' THEN CASE WHEN op_id % 3 = 0 THEN 'NOT_ALLOWED' ELSE 'ALREADY_DELETED' END WHEN op_id % 3 <> 0 THEN 'NOT_ALLOWED'
- WHEN EXISTS (SELECT 1 FROM {f_targets} x WHERE x.bucket = bucket_name AND status = 'READY' AND bucket <> 'bucket-1') THEN 'NOT_EMPTY' ELSE 'DELETED' END AS outcome FROM {f_orders} WHERE object_name IS NULL""",
+    f"""SELECT op_id, bucket_name, CASE WHEN b.id IS NULL THEN 'NOT_EXIST' WHEN b.client_id <> CASE WHEN op_id % 3 = 0 THEN 'client-x' ELSE 'client-y' END THEN 'NOT_ALLOWED' WHEN b.status = 'DELETED' THEN 'ALREADY_DELETED' WHEN b.status <> 'READY' THEN 'BAD_STATUS'
+ WHEN EXISTS (SELECT 1 FROM {{f_targets}} x WHERE x.bucket = bucket_name AND x.status = 'READY') THEN 'NOT_EMPTY' ELSE 'DELETED' END AS outcome FROM {{f_orders}} LEFT JOIN {_OWN} b ON b.id = bucket_name WHERE object_name IS NULL""",
 )(
     lambda t: orders.apply_delete_bucket(
-        wanted_buckets(t).withColumn("client_id", F.when(F.col("op_id") % 3 == 0, "client-x").otherwise("client-y")), own_buckets(t), t.f_targets.where("bucket <> 'bucket-1'")
+        wanted_buckets(t).withColumn("client_id", F.when(F.col("op_id") % 3 == 0, "client-x").otherwise("client-y")), own_buckets(t), t.f_targets
     ).select("op_id", "bucket_name", "outcome")
 )
 
@@ -497,7 +516,7 @@ def wanted_objects(t: Tables) -> DataFrame:
 
 
 _WANT = "FROM {f_orders} o LEFT JOIN {f_targets} x ON x.bucket = o.bucket_name AND x.name = o.object_name WHERE o.object_name IS NOT NULL"
-query("apply_create_object", f"SELECT op_id, CASE WHEN bucket_name IN ('bucket-2', 'bucket-3') THEN 'NO_BUCKET' WHEN status IS NULL OR status = 'DELETED' THEN 'READY' WHEN status = 'UPLOAD' THEN 'NOT_ACCEPTABLE' ELSE 'ALREADY_EXIST' END AS outcome {_WANT}")(
+query("apply_create_object", f"SELECT op_id, CASE WHEN bucket_name NOT IN (SELECT id FROM {_OWN} b WHERE b.status = 'READY') THEN 'NO_BUCKET' WHEN status IS NULL OR status = 'DELETED' THEN 'READY' WHEN status = 'UPLOAD' THEN 'NOT_ACCEPTABLE' ELSE 'ALREADY_EXIST' END AS outcome {_WANT}")(
     lambda t: orders.apply_create_object(wanted_objects(t), own_buckets(t), t.f_targets).select("op_id", "outcome")
 )
 query("apply_delete_object", f"SELECT op_id, CASE WHEN status IS NULL THEN 'NOT_EXIST' WHEN status = 'READY' THEN 'DELETED' WHEN status = 'DELETED' THEN 'ALREADY_DELETED' ELSE 'BAD_STATUS' END AS outcome {_WANT}")(
@@ -505,51 +524,62 @@ query("apply_delete_object", f"SELECT op_id, CASE WHEN status IS NULL THEN 'NOT_
 )
 _FOLD = """(SELECT bucket_name, object_name, status AS start, action, ts, op_id, status NOT IN ('READY','DELETED') AS stuck, lag(action) OVER (PARTITION BY bucket_name, object_name ORDER BY ts, op_id) AS before
  FROM (SELECT o.*, x.status FROM {f_orders} o LEFT JOIN {f_targets} x ON x.bucket = o.bucket_name AND x.name = o.object_name WHERE o.object_name IS NOT NULL AND action IN ('CREATE','DELETE')) y)"""
-query(
-    "fold_orders",
-    f"""SELECT bucket_name, object_name, CASE WHEN bool_or(coalesce(stuck, false)) THEN any_value(start) WHEN list(action ORDER BY ts DESC, op_id DESC)[1] = 'CREATE' THEN 'READY' WHEN any_value(start) IS NOT NULL OR bool_or(action = 'CREATE') THEN 'DELETED' END AS final_status,
- count(*) FILTER (coalesce(stuck, false) OR (action = 'CREATE') = coalesce(before = 'CREATE', start = 'READY', false)) AS errors FROM {_FOLD} f GROUP BY 1, 2""",
-)(lambda t: orders.fold_orders(t.f_orders, t.f_targets))
+FOLDED = f"""SELECT bucket_name, object_name, CASE WHEN bool_or(coalesce(stuck, false)) THEN any_value(start) WHEN list(action ORDER BY ts DESC, op_id DESC)[1] = 'CREATE' THEN 'READY' WHEN any_value(start) IS NOT NULL OR bool_or(action = 'CREATE') THEN 'DELETED' END AS final_status,
+ count(*) FILTER (coalesce(stuck, false) OR (action = 'CREATE') = coalesce(before = 'CREATE', start = 'READY', false)) AS errors FROM {_FOLD} f GROUP BY 1, 2"""
+query("fold_orders", FOLDED)(lambda t: orders.fold_orders(t.f_orders, t.f_targets))
 query("order_counters", f"SELECT kind, CASE WHEN op_id % 10 = 0 THEN 'error' WHEN step = 'create' THEN 'created' WHEN step = 'delete' THEN 'deleted' ELSE 'error' END AS tag, count(*) AS n FROM ({_CLASS}) c GROUP BY 1, 2")(
     lambda t: orders.order_counters(orders.classify_orders(t.f_orders).withColumn("failed", F.col("op_id") % 10 == 0))
 )
-TOPOLOGY = "SELECT DISTINCT site AS id, 'UP' AS status FROM {f_objects}"
-
-
-def topology(t: Tables) -> DataFrame:
-    return t.spark.sql(TOPOLOGY, f_objects=t.f_objects)
-
-
-query("locate_remote", "SELECT bucket, name, min(site) AS remote FROM {f_objects} WHERE site <> 'site-a' AND status = 'READY' GROUP BY 1, 2")(
-    lambda t: orders.locate_remote(t.f_objects.where("status = 'READY'").select(*ROW), topology(t), SITE)
+_ELSEWHERE = "site IN (SELECT id FROM {f_sites_up} WHERE status = 'UP' AND id <> 'site-a') AND status = 'READY'"
+query("locate_remote", f"SELECT bucket, name, min(site) AS remote FROM {{f_objects}} WHERE {_ELSEWHERE} GROUP BY 1, 2")(
+    lambda t: orders.locate_remote(t.f_objects.where("status = 'READY'").select(*ROW), t.f_sites_up, SITE)
 )
 _LOST = "NOT EXISTS (SELECT 1 FROM {f_objects} a WHERE a.site = 'site-a' AND a.bucket = o.bucket AND a.name = o.name)"
-query("fix_on_absent", f"SELECT min(site) AS from_site, 'site-a' AS to_site, bucket AS bucket_name, name AS object_name, 'CREATE' AS action FROM {{f_objects}} o WHERE site <> 'site-a' AND status = 'READY' AND {_LOST} GROUP BY bucket, name")(
-    lambda t: orders.fix_on_absent(t.f_objects, topology(t), SITE)
+query("fix_on_absent", f"SELECT min(site) AS from_site, 'site-a' AS to_site, bucket AS bucket_name, name AS object_name, 'CREATE' AS action FROM {{f_objects}} o WHERE {_ELSEWHERE} AND {_LOST} GROUP BY bucket, name")(
+    lambda t: orders.fix_on_absent(t.f_objects, t.f_sites_up, SITE)
 )
 query(
     "check_pullable",
-    """SELECT w.bucket, w.name, CASE WHEN a.name IS NOT NULL AND d.name IS NOT NULL THEN 'site-a' ELSE c.site END AS pull_from FROM (SELECT DISTINCT bucket, name FROM {f_objects}) w
-LEFT JOIN (SELECT * FROM {f_objects} WHERE site = 'site-a' AND status = 'READY') a ON a.bucket = w.bucket AND a.name = w.name LEFT JOIN (SELECT * FROM {f_driver} WHERE site = 'site-a') d ON d.bucket = w.bucket AND d.name = w.name
-LEFT JOIN (SELECT bucket, name, min(site) AS site FROM {f_objects} WHERE site <> 'site-a' AND status = 'READY' GROUP BY 1, 2) c ON c.bucket = w.bucket AND c.name = w.name""",
-)(lambda t: orders.check_pullable(t.f_objects.select("bucket", "name").distinct(), t.f_objects, t.f_driver, topology(t), SITE))
+    f"""SELECT w.bucket, w.name, CASE WHEN a.name IS NOT NULL AND d.name IS NOT NULL THEN 'site-a' ELSE c.site END AS pull_from FROM (SELECT DISTINCT bucket, name FROM {{f_objects}}) w
+LEFT JOIN (SELECT * FROM {{f_objects}} WHERE site = 'site-a' AND status = 'READY') a ON a.bucket = w.bucket AND a.name = w.name LEFT JOIN (SELECT * FROM {{f_driver}} WHERE site = 'site-a') d ON d.bucket = w.bucket AND d.name = w.name
+LEFT JOIN (SELECT bucket, name, min(site) AS site FROM {{f_objects}} WHERE {_ELSEWHERE} GROUP BY 1, 2) c ON c.bucket = w.bucket AND c.name = w.name""",
+)(lambda t: orders.check_pullable(t.f_objects.select("bucket", "name").distinct(), t.f_objects, t.f_driver, t.f_sites_up, SITE))
 
 # --- streaming: the table's rows as files, read as a stream ---------------------------------------
 
 
-def _streamed(t: Tables, out, mode: str) -> DataFrame:
-    """Writes orders as JSON files to the shared folder, runs the stream over them, and reads what it wrote."""
+def arriving(t: Tables, base: str):
+    """Orders as JSON files in two parts: what arrives before and after a restart."""
     from ..streaming import orders as s
 
-    spark = t.spark
-    base = f"{_shared(spark)}/stream-{uuid4().hex}"
-    target = f"{base}/out"
-    keep = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(target)
     middle = t.f_orders.select(F.percentile_approx("op_id", 0.5).alias("m")).first()["m"]
-    for part in (F.col("op_id") <= middle, F.col("op_id") > middle):  # what arrives before and after a restart
-        t.f_orders.where(part).write.mode("append").option("timestampNTZFormat", s.TIME).json(f"{base}/in")
-        s.run_once(out(s.read_files(spark, f"{base}/in")), keep, f"{base}/checkpoint", mode)
-    return spark.read.parquet(target)
+    for part in (F.col("op_id") <= middle, F.col("op_id") > middle):
+        yield t.f_orders.where(part).write.mode("append").option("timestampNTZFormat", s.TIME).json(f"{base}/in")
+
+
+def _streamed(t: Tables, out, mode: str) -> DataFrame:
+    """Runs the stream over orders that arrive in two parts, and reads what it wrote to the shared folder."""
+    from ..streaming import orders as s
+
+    base = f"{_shared(t.spark)}/stream-{uuid4().hex}"
+    for _ in arriving(t, base):
+        s.run_once(out(s.read_files(t.spark, f"{base}/in")), s.batch_writer(f"{base}/out"), f"{base}/checkpoint", mode)
+    return t.spark.read.parquet(f"{base}/out")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that keyed states need, for the time of a query."""
+    from ..streaming.orders import ROCKSDB
+
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _shared(spark: SparkSession) -> str:
@@ -578,26 +608,27 @@ def _(t):
     return rows.groupBy("kind", "step").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query(
-    "stream_apply",
-    """SELECT bucket_name, object_name, CASE WHEN list(action ORDER BY ts DESC, op_id DESC)[1] = 'CREATE' THEN 'READY' WHEN bool_or(action = 'CREATE') THEN 'DELETED' END AS final_status,
- count(*) FILTER ((action = 'CREATE') = coalesce(before = 'CREATE', false)) AS errors FROM (SELECT *, lag(action) OVER (PARTITION BY bucket_name, object_name ORDER BY ts, op_id) AS before FROM {f_orders} WHERE object_name IS NOT NULL AND action IN ('CREATE','DELETE')) o GROUP BY 1, 2""",
-)
+@query("stream_apply", FOLDED)
 def _(t):
+    """From the catalog's states: the same as ``fold_orders``, in two runs."""
     from ..streaming import orders as s
 
-    before = {k: t.spark.conf.get(k, None) for k in s.ROCKSDB}
-    for k, v in s.ROCKSDB.items():
-        t.spark.conf.set(k, v)
-    try:
-        rows = _streamed(t, s.apply_stream, "update")
-    finally:
-        for k, v in before.items():
-            t.spark.conf.unset(k) if v is None else t.spark.conf.set(k, v)
+    with rocksdb(t.spark):
+        rows = _streamed(t, lambda rows: s.apply_stream(rows, t.f_targets), "update")
     last = rows.groupBy("bucket_name", "object_name").agg(F.max_by(F.struct("final_status", "errors"), "batch").alias("s"))
     return last.select("bucket_name", "object_name", "s.final_status", "s.errors")
 
 
+@query("stream_dedup", "SELECT DISTINCT from_site, to_site, client_id, bucket_name, object_name, action FROM {f_orders}")
+def _(t):
+    """Within a bound beyond the table's whole time each order comes out once; op_id and ts are those that arrived first."""
+    from ..streaming import orders as s
+
+    with rocksdb(t.spark):
+        rows = _streamed(t, lambda rows: s.dedup_stream(rows, "400 days"), "append")
+    return rows.select("from_site", "to_site", "client_id", "bucket_name", "object_name", "action")
+
+
 # --- rights, sites, buckets ----------------------------------------------------------------------
 
 query("right_include", "SELECT x.code AS a, y.code AS b, CASE WHEN y.code = 0 THEN x.code = 0 ELSE (x.code & y.code) = y.code END AS covers FROM (SELECT DISTINCT code FROM {f_ownership}) x CROSS JOIN (SELECT DISTINCT code FROM {f_ownership}) y")(

@@ -11,17 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.orders import classify_orders, fan_out_orders
+from ..operators.orders import OBJECT, SAME, classify_orders, fan_out_orders, object_orders
+from ..sources.catalog import TIME
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = "op_id long, ts timestamp_ntz, from_site string, to_site string, client_id string, bucket_name string, object_name string, action string"
 
 
-#: How times are written in messages and files: to the microsecond.
-TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-
-
 def read_files(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Orders from a folder of JSON files."""
     return spark.readStream.schema(ORDER).option("maxFilesPerTrigger", files_per_batch).option("timestampNTZFormat", TIME).json(path)
@@ -40,11 +37,25 @@ def as_messages(orders: DataFrame) -> DataFrame:
 
 
 def write_files(orders: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Exactly once, by the sink's log; one folder per target site."""
+    """Exactly once, by the sink's log in ``path``; one folder per target site. A batch that is run again after a crash is passed over."""
     writer = orders.writeStream.format("json").partitionBy("to_site").option("path", path).option("timestampNTZFormat", TIME).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """The orders that ``write_files`` has committed: files that its log does not name are not seen."""
+    return spark.read.schema(ORDER).option("timestampNTZFormat", TIME).json(path)
+
+
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """An idempotent sink for ``foreachBatch``: each batch has a folder of its own, which a repeated run of it replaces."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
 def write_topic(orders: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
     writer = as_messages(orders).writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic})
     return writer.option("checkpointLocation", checkpoint).start()
@@ -60,28 +71,60 @@ def counters_stream(orders: DataFrame) -> DataFrame:
     return classify_orders(orders).groupBy("kind", "step").agg(F.count("*").alias("n"))
 
 
+def dedup_stream(orders: DataFrame, bound: str) -> DataFrame:
+    """Orders that are equal but for op_id and arrival come out once while less than ``bound`` of event time lies between them.
+
+    The state holds the orders of about the last ``bound`` alone; an order repeated after it was let go
+    counts as new. Needs the RocksDB state store.
+    """
+    timed = orders.withColumn("event_", F.col("ts").cast("timestamp")).withWatermark("event_", bound)
+    return timed.dropDuplicatesWithinWatermark([c for c in SAME if c in orders.columns]).drop("event_")
+
+
 class ObjectState(StatefulProcessor):
-    """Status and errors of one object. Orders seen before, by (ts, op_id), are passed over, so a replayed batch changes nothing."""
+    """Status and errors of one object. Orders seen before, by (ts, op_id), are passed over, so a replayed batch changes nothing.
+
+    ``idle``: milliseconds of event time after which a deleted object's state is let go. It then counts as
+    absent, which refuses and accepts the same orders; only its errors start again.
+    """
+
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("object", "status string, errors long, last string")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        status = initialState["status"].iloc[0] if isinstance(initialState, pd.DataFrame) else initialState.status
+        self.state.update((status, 0, ""))
+
     def handleInputRows(self, key, rows, timerValues):
         status, errors, last = self.state.get() if self.state.exists() else (None, 0, "")
         parts = list(rows)
         orders = pd.concat(parts).sort_values(["ts", "op_id"])
+        stuck = status not in (None, "READY", "DELETED")
         for ts, op_id, action in zip(orders.ts, orders.op_id, orders.action, strict=True):
             mark = f"{pd.Timestamp(ts).isoformat(timespec='microseconds')}/{int(op_id):020d}"
             if mark <= last:
                 continue
             last = mark
-            if (action == "CREATE") == (status == "READY"):
+            if stuck or (action == "CREATE") == (status == "READY"):
                 errors += 1
             else:
                 status = "READY" if action == "CREATE" else "DELETED"
         self.state.update((status, int(errors), last))
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if status in (None, "DELETED"):
+                self.handle.registerTimer(max(int(orders.millis.max()), timerValues.getCurrentWatermarkInMs()) + self.idle)
         yield pd.DataFrame({"bucket_name": [key[0]], "object_name": [key[1]], "final_status": [status], "errors": [int(errors)]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -89,14 +132,25 @@ class ObjectState(StatefulProcessor):
 APPLIED = "bucket_name string, object_name string, final_status string, errors long"
 
 
-def apply_stream(orders: DataFrame) -> DataFrame:
+def apply_stream(orders: DataFrame, objects: DataFrame | None = None, idle: str | None = None) -> DataFrame:
     """State of each object after every batch, for output mode update; needs the RocksDB state store.
 
+    ``objects`` (bucket, name, status; one row per object): the catalog that the orders start from, taken
+    in by the first batch. ``idle``: event time after which the state of deleted objects is let go, which
+    is also how late an order may be; without it orders are never too late and states never go.
     Within a batch orders are sorted by arrival; an order that arrives after a later one of its
     object is passed over, as the topic is ordered per key.
     """
-    rows = orders.where(F.col("action").isin("CREATE", "DELETE") & (F.length("object_name") > 0)).select("bucket_name", "object_name", "ts", "op_id", "action")
-    return rows.groupBy("bucket_name", "object_name").transformWithStateInPandas(statefulProcessor=ObjectState(), outputStructType=APPLIED, outputMode="Update", timeMode="None")
+    rows = object_orders(orders).select(*OBJECT, "ts", "op_id", "action")
+    start = None
+    if objects is not None:
+        start = objects.select(F.col("bucket").alias("bucket_name"), F.col("name").alias("object_name"), "status").groupBy(*OBJECT)
+    how = {"outputStructType": APPLIED, "outputMode": "Update", "initialState": start}
+    if idle is None:
+        return rows.groupBy(*OBJECT).transformWithStateInPandas(statefulProcessor=ObjectState(), timeMode="None", **how)
+    event = F.col("ts").cast("timestamp")
+    rows = rows.withColumns({"event": event, "millis": F.unix_millis(event)}).withWatermark("event", idle)
+    return rows.groupBy(*OBJECT).transformWithStateInPandas(statefulProcessor=ObjectState(int(pd.Timedelta(idle).total_seconds() * 1000)), timeMode="EventTime", **how)
 
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
