@@ -1,7 +1,7 @@
 """Table changes as table in, table out. Keys are compared null-safely nowhere: a null key matches nothing.
 
-Where a source says what becomes of existing rows, one of its rows counts for each key (the last by its
-JSON text), so a repeated key never multiplies target rows.
+Where a source says what becomes of existing rows, one of its rows counts for each key (the greatest,
+column by column), so a repeated key never multiplies target rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def true_where(predicate: Column) -> Column:
@@ -41,9 +42,19 @@ def set_array(rows: DataFrame, array: str, old: Column, value: Column) -> DataFr
 
 
 def one_per_key(source: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The source with one row for each key; the aggregation deals rows out as the join that follows does."""
+    """The source with one row for each key; the aggregation deals rows out as the join that follows does.
+
+    Rows are compared by their values, column by column; only where a column cannot be compared (a map) by JSON.
+    """
     row = F.struct(*source.columns)
-    return source.groupBy(*on).agg(F.max_by(row, F.to_json(row)).alias("row_")).select("row_.*")
+    place = F.to_json(row) if any(_holds_map(f.dataType) for f in source.schema) else row
+    best = source.groupBy(*on).agg(F.max_by(row, place).alias("row_"))
+    return best.select(*(F.col(c) if c in on else F.col(f"row_.{c}").alias(c) for c in source.columns))  # the keys are the groups', so the join needs no exchange of its own
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, (T.MapType, T.VariantType)) or any(map(_holds_map, inner))
 
 
 def update_if_changed(target: DataFrame, source: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -75,9 +86,13 @@ def replace(target: DataFrame, source: DataFrame, on: Sequence[str]) -> DataFram
     return source.unionByName(target.join(source.select(*on), list(on), "left_anti"), allowMissingColumns=True)
 
 
-def merge_or_discard(target: DataFrame, source: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Overwrites the fields of existing keys; source rows without a target are dropped, null values change nothing."""
-    s = one_per_key(source.select(*on, *fields), on).select(*on, *(F.col(c).alias(f"{c}_new") for c in fields))
+def merge_or_discard(target: DataFrame, source: DataFrame, on: Sequence[str], fields: Sequence[str], once: bool = False) -> DataFrame:
+    """Overwrites the fields of existing keys; source rows without a target are dropped, null values change nothing.
+
+    ``once``: the source is known to have one row per key.
+    """
+    s = source.select(*on, *fields) if once else one_per_key(source.select(*on, *fields), on)
+    s = s.select(*on, *(F.col(c).alias(f"{c}_new") for c in fields))
     joined = target.join(s, list(on), "left")
     return joined.select(*(F.coalesce(f"{c}_new", c).alias(c) if c in fields else F.col(c) for c in target.columns))
 

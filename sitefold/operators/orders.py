@@ -148,7 +148,7 @@ def object_orders(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("action").isin("CREATE", "DELETE") & (F.length("object_name") > 0))
 
 
-def _micros(ts: Column) -> Column:
+def zoneless_micros(ts: Column) -> Column:
     """Microseconds of a time without zone, in no zone: they rise as the times do."""
     seconds = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
     return seconds * 1000000 + (F.extract(F.lit("SECONDS"), ts) * 1000000).cast("long")
@@ -160,7 +160,7 @@ def time_range(orders: DataFrame, ranges: int = RANGES) -> Column:
     One aggregation over the times finds the cuts. Orders of one microsecond stay together.
     """
     shares = [k / ranges for k in range(1, ranges)]
-    micros = _micros(F.col("ts")) if orders.schema["ts"].dataType == T.TimestampNTZType() else F.unix_micros("ts")
+    micros = zoneless_micros(F.col("ts")) if orders.schema["ts"].dataType == T.TimestampNTZType() else F.unix_micros("ts")
     cuts = orders.agg(F.percentile_approx(micros, shares, 100 * ranges)).first()[0] or []  # one array of ``ranges`` numbers
     return F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<long>"), lambda c: c < micros))
 

@@ -7,13 +7,13 @@ from contextlib import contextmanager
 from datetime import datetime
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions import predicates as p
 from ..operators import central, content, lifecycle, local, mutate, orders, rights
-from ..sources import catalog
+from ..sources import catalog, storage, tables
 from .fixtures import Tables, standalone
 
 NOW, START, SITE = datetime(2000, 1, 1), datetime(1996, 1, 1), "site-a"
@@ -91,10 +91,45 @@ def _(t):
     return written.groupBy(*t.f_orders.columns).agg(F.count("*").alias("copies"))
 
 
-query("drop_request_rows", "SELECT bucket, name, 'run-2' AS request_id FROM {f_driver} WHERE site <> 'site-a'")(
-    lambda t: mutate.delete_where(
-        t.f_driver.select("bucket", "name", F.when(F.col("site") == SITE, "run-1").otherwise("run-2").alias("request_id")), p.eq("request_id", "run-1")
-    )
+@query("drop_request_rows", "SELECT bucket, name, CASE site WHEN 'site-b' THEN 'run-2' ELSE 'run-3' END AS request_id FROM {f_driver} WHERE site <> 'site-a'")
+def _(t):
+    """Rows of three requests in partitions of their own; one request's partition is dropped."""
+    path = f"{_shared(t.spark)}/requests-{uuid4().hex}"
+    request = F.when(F.col("site") == SITE, "run-1").when(F.col("site") == "site-b", "run-2").otherwise("run-3")
+    tables.save_requests(t.f_driver.select("bucket", "name", request.alias("request_id")), path)
+    schema = "bucket string, name string, request_id string"
+    tables.drop_request(t.spark, path, "run-1", schema)
+    return tables.request_rows(t.spark, path, schema)
+
+
+@query("replace_request", "SELECT bucket, name, CASE WHEN site = 'site-a' THEN 'run-1' ELSE 'run-2' END AS request_id FROM {f_driver} WHERE site <> 'site-b'")
+def _(t):
+    """Site b's rows of run-2 are overwritten with site c's; run-1 stays as it is."""
+    path = f"{_shared(t.spark)}/requests-{uuid4().hex}"
+    rows = lambda where, request: t.f_driver.where(where).select("bucket", "name", F.lit(request).alias("request_id"))
+    tables.save_requests(rows("site = 'site-a'", "run-1").unionByName(rows("site = 'site-b'", "run-2")), path)
+    tables.replace_request(rows("site = 'site-c'", "run-2"), path)
+    return tables.request_rows(t.spark, path, "bucket string, name string, request_id string")
+
+
+def stored(t: Tables) -> str:
+    """A store that holds the contents as objects, in a bucket for each language."""
+    root = f"{_shared(t.spark)}/store-{uuid4().hex}"
+    storage.store_objects(t.f_content.select("bucket", "name", F.col("text").alias("content")), root).agg(F.sum("size")).collect()
+    return root
+
+
+query("list_stored", "SELECT bucket, name, CAST(strlen(text) AS BIGINT) AS size FROM {f_content} WHERE bucket = 'en' AND starts_with(name, 'src1')")(
+    lambda t: storage.stored_objects(t.spark, stored(t)).where("bucket = 'en' and startswith(name, 'src1') and event >= timestamp_ntz'2000-01-01 00:00:00'").select("bucket", "name", "size")
+)
+query("list_stored_all", "SELECT bucket, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM {f_content} GROUP BY 1")(
+    lambda t: storage.stored_objects(t.spark, stored(t)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+)
+query("stored_manifest", "SELECT bucket, name, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM {f_content}")(
+    lambda t: storage.file_manifest(t.f_content.select("bucket", "name"), stored(t), ("MD5", "SHA1", "SHA256"))
+)
+query("stored_fixity", "SELECT bucket, count(*) AS n, count(*) FILTER (md5(text) <> stored_hash) AS bad_hash, count(*) FILTER (strlen(text) <> n_chars) AS bad_size, CAST(0 AS BIGINT) AS missing FROM {f_content} GROUP BY 1")(
+    lambda t: storage.stored_fixity(t.f_content.select("bucket", "name", "stored_hash", F.col("n_chars").alias("stored_size")), stored(t))
 )
 
 # --- predicates ----------------------------------------------------------------------------------
@@ -212,6 +247,17 @@ query("merge_keep_existing", f"SELECT * FROM {_OLD} o UNION ALL SELECT * FROM {_
 query("merge_or_discard", f"SELECT o.site, o.bucket, o.name, coalesce(n.status, o.status) AS status, o.size FROM {_OLD} o LEFT JOIN {_NEW} n ON o.bucket = n.bucket AND o.name = n.name")(
     lambda t: mutate.merge_or_discard(existing(t), incoming(t), m.SITE_KEY, ["status"])
 )
+
+
+@query("merge_bucketed", f"SELECT o.site, o.bucket, o.name, coalesce(n.status, o.status) AS status, o.size FROM {_OLD} o LEFT JOIN {_NEW} n ON o.bucket = n.bucket AND o.name = n.name")
+def _(t):
+    """The catalog lies bucketed by its key; a merge writes its next version."""
+    kept = tables.BucketedCatalog(t.spark, f"catalog_{uuid4().hex}", f"{_shared(t.spark)}/catalog-{uuid4().hex}", m.SITE_KEY, 8)
+    kept.save(existing(t))
+    kept.merge(lambda old, new: mutate.merge_or_discard(old, new, m.SITE_KEY, ["status"], once=True), incoming(t))
+    return kept.rows()
+
+
 query("merge_replace", f"SELECT * FROM {_NEW} n UNION ALL SELECT * FROM {_OLD} o WHERE NOT EXISTS (SELECT 1 FROM {_NEW} n WHERE o.bucket = n.bucket AND o.name = n.name)")(
     lambda t: mutate.replace(existing(t), incoming(t), m.SITE_KEY)
 )
@@ -232,6 +278,11 @@ def empty_native(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([], f"bucket string, name string, db {local.STATE}, driver {local.STATE}")
 
 
+def snapped(t: Tables) -> DataFrame:
+    """Native rows of a run that has listed the storage alone."""
+    return local.snapshot_driver(empty_native(t), t.f_driver, SITE)
+
+
 def native_of(t: Tables) -> DataFrame:
     states = local.db_states(started(t), SITE)
     listed = local.snapshot_driver(states.withColumn("driver", F.lit(None).cast(local.STATE)), t.f_driver, SITE)
@@ -249,14 +300,18 @@ query("merge_null_out", "SELECT bucket, name, db_rank, db_event, CASE WHEN NOT c
 # --- one site ------------------------------------------------------------------------------------
 
 query("purge_unknown", "SELECT site, bucket, name, status FROM {f_objects} WHERE NOT (site = 'site-a' AND status = 'UNKNOWN')")(
-    lambda t: local.purge_unknown(t.f_objects, empty_native(t), SITE)[0].select(*ROW, "status")
+    lambda t: local.purge_unknown(t.f_objects, snapped(t), SITE)[0].select(*ROW, "status")
 )
+query(
+    "purge_unknown_native",
+    "SELECT d.bucket, d.name, d.event AS driver_event FROM {f_driver} d WHERE d.site = 'site-a' AND NOT EXISTS (SELECT 1 FROM {f_objects} o WHERE o.site = 'site-a' AND o.status = 'UNKNOWN' AND o.bucket = d.bucket AND o.name = d.name)",
+)(lambda t: local.purge_unknown(t.f_objects, snapped(t), SITE)[1].select("bucket", "name", F.col("driver.event").alias("driver_event")))
 query("status_rank", "SELECT site, bucket, name, rank AS rstatus FROM {o_ranked}")(lambda t: local.with_rank(t.f_objects).select(*ROW, "rstatus"))
 query("rank_remap", "SELECT site, bucket, name, rstatus FROM {o_started}")(lambda t: started(t).select(*ROW, "rstatus"))
 query(
     "purge_native_errors",
     "SELECT d.bucket, d.name FROM {f_driver} d WHERE d.site = 'site-a' AND NOT EXISTS (SELECT 1 FROM {f_objects} o WHERE o.site = 'site-a' AND o.bucket = d.bucket AND o.name = d.name AND o.status IN ('UNKNOWN','UPLOAD','ERR_UPL','DELETED','ERR_DEL'))",
-)(lambda t: local.purge_native_errors(local.snapshot_driver(empty_native(t), t.f_driver, SITE), t.f_objects, SITE).select("bucket", "name"))
+)(lambda t: local.purge_native_errors(snapped(t), t.f_objects, SITE).select("bucket", "name"))
 
 
 def runs(t: Tables) -> DataFrame:
@@ -321,6 +376,16 @@ query("sites_listing_export", "SELECT bucket, name, 'site-a' AS site, nstatus FR
     lambda t: catalog.from_json_lines(catalog.to_json_lines(local.site_states(native_of(t), SITE)), "bucket string, name string, site string, nstatus int")
 )
 query("local_counts", "SELECT bucket, count(db_event) AS checked_db, count(driver_event) AS checked_driver, count(*) AS checked FROM {o_native} GROUP BY 1")(lambda t: local.local_counts(native_of(t)))
+
+
+@query("observed_counts", "SELECT count(db_event) AS checked_db, count(driver_event) AS checked_driver, count(*) AS checked FROM {o_native}")
+def _(t):
+    """The counts of a run, taken by the job that writes its native rows."""
+    seen = Observation("run")
+    tables.checked(native_of(t), seen).write.parquet(f"{_shared(t.spark)}/native-{uuid4().hex}")
+    return t.spark.createDataFrame([seen.get], "checked_db long, checked_driver long, checked long")
+
+
 query(
     "reconcile_local",
     """SELECT bucket, nstatus, count(*) AS n FROM (SELECT bucket, CASE WHEN nstatus = 11 THEN 10 ELSE nstatus END AS nstatus FROM {o_states}) x GROUP BY ALL""",
@@ -393,6 +458,25 @@ query(
 FROM (SELECT *, {_NEED} AS valid FROM (SELECT site, name, action, coalesce(status, 'ABSENT') AS status FROM ({_PAIRS}) x) y) z""",
 )(lambda t: central.action_outcome(t.spark.sql(_PAIRS, f_objects=t.f_objects)).select("site", "name", "action", "status", "valid", "db_status", "storage_step"))
 query("reconcile_central", _ACT.replace("o_actions", "o_central"))(lambda t: shown(central.reconcile_central(t.f_old_listing, t.f_new_listing, SITES)))
+
+
+@query("stream_central", _ACT.replace("o_actions", "o_central"))
+def _(t):
+    """Listings of sites as they arrive, a run of the stream for each: the actions that stand in the end."""
+    from ..streaming import central as s
+
+    base = f"{_shared(t.spark)}/central-{uuid4().hex}"
+    form = "name string, site string, round long, event timestamp_ntz, nstatus int"
+    with rocksdb(t.spark):
+        for number, listing in enumerate((t.f_old_listing, t.f_new_listing)):
+            rows = listing.select("name", "site", F.lit(number).cast("long").alias("round"), F.col("event").cast("timestamp_ntz").alias("event"), "nstatus")
+            rows.write.mode("append").parquet(f"{base}/in")
+            arrived = t.spark.readStream.schema(form).parquet(f"{base}/in")
+            writer = s.states_stream(arrived).writeStream.outputMode("update").foreachBatch(s.actions_writer(f"{base}/out", SITES))
+            writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return shown(s.latest_actions(t.spark.read.parquet(f"{base}/out")))
+
+
 query("reconcile_central_actions", "SELECT need_action, count(*) AS n FROM {o_central} GROUP BY 1")(
     lambda t: central.count_actions(central.reconcile_central(t.f_old_listing, t.f_new_listing, SITES))
 )
