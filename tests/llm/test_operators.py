@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -148,22 +149,83 @@ def test_sections_of_an_article_stay():
     ]
 
 
-def test_path_scores_equal_plain_sums_and_decide(monkeypatch):
+def test_path_scores_equal_plain_sums():
     for html in (PAGE, SECTIONS):
         page = extract.Page(html)
         chain = lambda i: () if i == 0 else (*chain(page.parent[i]), page.tag[i])
         paths = [chain(i) for i in page.node]
         plain = [1 - k for k in page.links]
-        mean = lambda values: [sum(v for v, q in zip(values, paths, strict=True) if q == p) / paths.count(p) for p in paths]
-        ratios = [mean([len(t) * k for t, k in zip(page.texts, plain, strict=True)]), mean([len(extract.PUNCTUATION.findall(t)) * k for t, k in zip(page.texts, plain, strict=True)])]
+        total = lambda values, p: sum(v * k for v, k, q in zip(values, plain, paths, strict=True) if q == p)
+        letters, points = [len(t) for t in page.texts], [len(extract.PUNCTUATION.findall(t)) for t in page.texts]
+        whole = sum(v * k for v, k in zip(letters, plain, strict=True))
+        ratio = [total(letters, p) / paths.count(p) * (1 + math.log1p(total(points, p) / paths.count(p))) * total(letters, p) / whole for p in paths]
         n, kernel = len(paths), [math.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)]
-        smooth = lambda x: [sum(k * x[i + d] for d, k in zip(range(-2, 3), kernel, strict=True) if 0 <= i + d < n) / sum(k for d, k in zip(range(-2, 3), kernel, strict=True) if 0 <= i + d < n) for i in range(n)]
-        text, marks = map(smooth, ratios)
-        want = [t * (1 + math.log1p(m)) * k * page.prior[i] for t, m, k, i in zip(text, marks, plain, page.node, strict=True)]
+        near = [sum(k * ratio[i + d] for d, k in zip(range(-2, 3), kernel, strict=True) if 0 <= i + d < n) / sum(k for d, k in zip(range(-2, 3), kernel, strict=True) if 0 <= i + d < n) for i in range(n)]
+        want = [a**0.25 * b**0.75 * k * page.prior[i] for a, b, k, i in zip(near, ratio, plain, page.node, strict=True)]
         assert n >= 5 and np.allclose(extract.path_scores(page), want)
-    before = extract.main_text(SECTIONS)
-    monkeypatch.setattr(extract, "path_scores", lambda page: np.ones(len(page.node)))
-    assert extract.main_text(SECTIONS) != before
+
+
+def made_page(rng, marked):
+    """A page and the text of its article."""
+    word = lambda: rng.choice(["stone", "river", "walks", "of", "and", "the", "late", "was", "under"])
+    prose = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice([".", "!", ", so."])
+    cls = lambda name: f' class="{name}"' if marked else ""
+    blocks = [("h1", prose(5))] + [(rng.choice(["p", "p", "p", "blockquote", "h2", "pre"]), prose(rng.randint(20, 90))) for _ in range(rng.randint(4, 12))]
+    blocks += [("p", prose(3)), ("p", prose(40))]
+    menu = "".join(f"<li><a href='/{i}'>{word()}</a></li>" for i in range(rng.randint(3, 8)))
+    body = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+    top, side = f"<div{cls('site-header')}>{prose(3)}</div><div{cls('main-nav')}><ul>{menu}</ul></div>", f"<div{cls('sidebar')}><span>{prose(4)}</span></div>"
+    page = f"<html><body>{top}<div{cls('article-body')}>{body}</div>{side}<div{cls('page-footer')}>Copyright 2020. {prose(4)}</div></body></html>"
+    return page, "\n\n".join(x for _, x in blocks)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_made_pages_give_their_articles(marked):
+    rng = random.Random(11)
+    for _ in range(150):
+        page, want = made_page(rng, marked)
+        assert extract.main_text(page) == want
+
+
+def test_ratios_decide_and_marks_help(monkeypatch):
+    rng = random.Random(12)
+    pages = [made_page(rng, True) for _ in range(100)]
+    monkeypatch.setattr(extract, "path_ratios", lambda page: np.ones(len(page.node)))
+    bare = [extract.main_text(page.replace("class=", "data-x=")) for page, _ in pages]
+    assert not any(got == want for got, (_, want) in zip(bare, pages, strict=True))  # without ratios and marks no page comes out right
+
+
+STORY = " ".join(["Words, words and more of them, as a story goes."] * 8)
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        ('<section class="discussion"><h2>Discussion</h2><p>A short remark.</p></section>', ["Discussion", "A short remark."]),
+        (f'<section class="related-work"><h2>Related work</h2><p>{STORY}</p><p>Short.</p></section>', ["Related work", STORY, "Short."]),
+        ('<div class="notice-board"><p>It hung there.</p></div>', ["It hung there."]),
+        ('<div class="header"><h1>Title</h1></div>', ["Title"]),
+        ('<p class="ad-hoc">Ad hoc it was.</p><p id="search-results">Found two.</p>', ["Ad hoc it was.", "Found two."]),
+        ('<ul><li><a href="1">Ref one</a></li><li><a href="2">Ref two</a></li><li><a href="3">Ref three</a></li></ul>', ["Ref one", "Ref two", "Ref three"]),
+        ('<div id="comments"><p>I like it, really.</p></div>', []),
+        ('<div class="user-comment"><p>Me too, yes.</p></div>', []),
+        ('<div class="ad-slot-1">Buy it, now.</div><div class="newsletter-signup"><p>Join us!</p></div>', []),
+        ('<div class="related-posts"><a href="1">One</a> <a href="2">Two</a></div>', []),
+        ("<aside>Read this, too.</aside>", []),
+    ],
+)
+def test_marks_within_an_article(part, kept):
+    page = f'<html><body><nav><a href="a">Home</a><a href="b">News</a></nav><div id="content"><h1>T</h1><p>{STORY}</p>{part}<p>{STORY} End.</p></div><footer>c</footer></body></html>'
+    assert extract.main_text(page).split("\n\n") == ["T", STORY, *kept, f"{STORY} End."]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_ratios_alone_give_nearly_every_page(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    want = [extract.main_text(p) for p in pages]
+    mark = extract._mark
+    monkeypatch.setattr(extract, "_mark", lambda tag, attrs: (1.0, 1.0) if mark(tag, attrs)[0] else (0.0, 0.0))
+    assert sum(extract.main_text(p) == w for p, w in zip(pages, want, strict=True)) >= 0.9 * len(pages)
 
 
 def test_deep_and_broken_pages_take_linear_time():
