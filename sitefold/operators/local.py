@@ -234,11 +234,31 @@ def local_counts(native: DataFrame) -> DataFrame:
 
 
 def reconcile_local(objects: DataFrame, listing: DataFrame, site: str, start: Column, bucket: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(objects, native, states) after all steps, from an empty start; ``states`` is what goes to the central site."""
+    """(objects, native, states) after all steps, from an empty start; ``states`` is what goes to the central site.
+
+    The steps in a row (``fix_objects``, ``site_states``, ``refresh_from_driver``) give the same. Here the
+    site's objects meet the listing in one full outer join that carries both sides' columns, and every
+    result is a projection of its rows: an object is changed where it is joined, not joined again.
+    """
     kept = objects.where(~F.coalesce(of(site, bucket) & (F.col("status") == "UNKNOWN"), F.lit(False)))
     ranked = rank_remap(with_rank(kept), site, start, bucket)
-    own = listing.where(of(site, bucket))
-    native = db_states(ranked, site, bucket).join(_listed(own, "site", *ON).select(*ON, _state(F.col("site"), F.lit(m.RANK["READY"]), F.col("event")).alias("driver")), ON, "full_outer").select(*ON, "db", "driver")
-    fixed = fix_objects(ranked, native, site)
-    fixed, states = refresh_from_driver(fixed, site_states(native, site), listing, site)
-    return fixed, native, states
+    here = F.coalesce(of(site, bucket), F.lit(False))
+    carried = [c for c in ("hash", "size", "expires", "metadata") if c in listing.columns and c in ranked.columns]
+    found = listing.where(of(site, bucket)).groupBy("site", *ON).agg(F.max("event").alias("event"), *(F.max_by(c, "event").alias(f"{c}_new") for c in carried))
+    driver = found.select(*ON, _state(F.col("site"), F.lit(m.RANK["READY"]), F.col("event")).alias("driver"), *(f"{c}_new" for c in carried))
+    rest = [c for c in ranked.columns if c not in ON]
+    mine = ranked.where(here).select(*ON, *rest, _state(F.col("site"), F.col("rstatus"), F.col("creation")).alias("db"))
+    both = mine.join(driver, ON, "full_outer")
+    native = both.select(*ON, "db", "driver")
+    todo = F.coalesce((state_code() == m.UPDATE) & F.col("driver").isNotNull(), F.lit(False))
+    code = F.when(todo, m.READY).otherwise(state_code())
+    states = both.select(*ON, F.lit(site).alias("site"), latest_event().alias("event"), code.alias("nstatus")).where("nstatus is not null")
+    rank = F.col("db.nstatus")
+    new = {
+        "site": F.lit(site),
+        "status": F.when(todo, "READY").when(_db_only() & rank.isin(1, 2, 3, 7), "UPLOAD").when(_db_only() & rank.isin(4, 5, 6), "DELETED").when(_both() & rank.isin(4, 5, 6), "DELETING"),
+        "rstatus": F.when(todo, m.RANK["READY"]).when(_db_only() & rank.isin(1, 2, 3, 7), m.TO_UPDATE).when(_db_only() & rank.isin(4, 5, 6), m.RANK["DELETED"]).when(_both() & rank.isin(4, 5, 6), m.RANK["DELETING"]),
+        "creation": F.when(todo, F.col("driver.event")),
+    } | {c: F.when(todo, F.col(f"{c}_new")) for c in carried}
+    fixed = both.select(*(F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in ranked.columns))
+    return ranked.where(~here).unionByName(fixed), native, states

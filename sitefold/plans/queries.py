@@ -391,6 +391,14 @@ query(
     """SELECT bucket, nstatus, count(*) AS n FROM (SELECT bucket, CASE WHEN nstatus = 11 THEN 10 ELSE nstatus END AS nstatus FROM {o_states}) x GROUP BY ALL""",
 )(lambda t: local.reconcile_local(t.f_objects, t.f_driver, SITE, F.lit(START).cast("timestamp_ntz"))[2].groupBy("bucket", "nstatus").agg(F.count("*").alias("n")))
 
+_FIX = lambda a, b, c, d, e: f"CASE WHEN n.side = 'db_only' AND n.db_rank IN (1,2,3,7) THEN {a} WHEN n.side = 'db_only' AND n.db_rank IN (4,5,6) THEN {b} WHEN n.side = 'both' AND n.db_rank IN (1,3,7) THEN {c} WHEN n.side = 'both' AND n.db_rank IN (4,5,6) THEN {d} ELSE {e} END"
+query(
+    "reconcile_local_objects",
+    f"""SELECT s.site, s.bucket, s.name, {_FIX("'UPLOAD'", "'DELETED'", "'READY'", "'DELETING'", "s.status")} AS status, {_FIX("7", "5", "2", "4", "s.rstatus")} AS rstatus, {_FIX("s.creation", "s.creation", "n.driver_event", "s.creation", "s.creation")} AS creation,
+ {_FIX("s.size", "s.size", "length(s.name)", "s.size", "s.size")} AS size FROM {{o_started}} s LEFT JOIN {{o_native}} n ON s.site = 'site-a' AND n.bucket = s.bucket AND n.name = s.name
+UNION ALL SELECT 'site-a', bucket, name, 'READY', 2, driver_event, length(name) FROM {{o_native}} WHERE side = 'driver_only'""",
+)(lambda t: local.reconcile_local(t.f_objects, t.spark.sql(_STORED, f_driver=t.f_driver), SITE, F.lit(START).cast("timestamp_ntz"))[0].select(*ROW, "status", "rstatus", "creation", "size"))
+
 # --- all sites -----------------------------------------------------------------------------------
 
 query("merge_site_listing", "SELECT name, site, event, nstatus FROM {o_merged}")(lambda t: central.merge_site_listing(t.f_old_listing, t.f_new_listing))

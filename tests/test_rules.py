@@ -248,3 +248,24 @@ def test_names_listed_twice_count_once(spark):
     native = spark.createDataFrame([], f"bucket string, name string, db {local.STATE}, driver {local.STATE}")
     got = {r["name"]: r["driver"]["event"] for r in local.snapshot_driver(native, listing, "s").collect()}
     assert got == {"n": stamp(3), "o": stamp(2)} and local.snapshot_driver(native, listing, "s").count() == 2
+
+
+def test_one_join_gives_what_the_steps_give(spark):
+    stamp = lambda d: datetime(2020, 1, d)
+    form = "site string, bucket string, name string, status string, creation timestamp_ntz, hash string, size long, metadata map<string,string>"
+    statuses = [*m.STATUSES, None, "odd"]
+    objects = [("s", "b", f"n{i}-{there}", st, stamp(5 + i % 3), "old", i, {"k": "old"}) for i, st in enumerate(statuses) for there in (True, False)]
+    objects += [("z", "b", "n2-True", "UPLOAD", stamp(5), "old", 1, None), (None, "b", "n2-True", "UPLOAD", stamp(5), "old", 1, None), ("s", "c", "n1-True", "UPLOAD", stamp(5), "old", 1, None)]
+    listing = [("s", "b", f"n{i}-True", stamp(6), "new", 9 if i % 2 else None, None) for i in range(len(statuses))] + [("s", "b", "n1-True", stamp(2), "older", 8, None), ("s", "b", "extra", stamp(7), "new", 7, {"a": "b"}), ("z", "b", "n2-True", stamp(8), "new", 5, None)]
+    objects, listing = spark.createDataFrame(objects, form), spark.createDataFrame(listing, "site string, bucket string, name string, event timestamp_ntz, hash string, size long, metadata map<string,string>")
+    start = F.lit(stamp(6)).cast("timestamp_ntz")
+    for bucket in (None, "b"):
+        fixed, native, states = local.reconcile_local(objects, listing, "s", start, bucket)
+        ranked = local.rank_remap(local.with_rank(local.purge_unknown(objects, native, "s", bucket)[0]), "s", start, bucket)
+        nothing = spark.createDataFrame([], f"bucket string, name string, db {local.STATE}, driver {local.STATE}")
+        by_steps = local.snapshot_driver(local.snapshot_db(nothing, ranked, "s", bucket), listing, "s", bucket)
+        latest = listing.where("event <> timestamp_ntz'2020-01-02 00:00:00'")
+        want, told = local.refresh_from_driver(local.fix_objects(ranked, by_steps, "s"), local.site_states(by_steps, "s"), latest if bucket is None else latest.where("bucket = 'b'"), "s")
+        text = lambda rows: sorted(map(str, (r.asDict(recursive=True) for r in rows.select(*sorted(rows.columns)).collect())))
+        assert text(fixed) == text(want) and text(states) == text(told) and text(native) == text(by_steps)
+        assert fixed._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
