@@ -5,7 +5,10 @@ projections, in as many tables as recall needs; bits and tables grow with the lo
 label, so cells keep their size. Within a cell many one-dimensional projections are sorted, a pair
 counts one collision for each projection in which it lies in the window centred on the other, and
 pairs with enough collisions, and no others, are verified by the cosine in double precision. Window and count are
-calibrated to miss fewer than ``MISS`` of the pairs that just reach the threshold.
+calibrated to miss fewer than ``MISS`` of the pairs that just reach the threshold: one table of one cell
+for a label of up to ``CELL`` vectors, where every pair is counted, and beyond it sign cells, of which a pair
+at the threshold shares none with probability ``MISS`` / 2. In a cell the counts stand in a dense table of
+block by block, as a window holds over a quarter of a cell.
 
 Equal vectors are one representative with a multiplicity. A cell of many rows, such as a large group
 of near copies, is compared block by block in tasks of their own, and yields counts and a spanning

@@ -581,6 +581,32 @@ def test_packing(docs, rows, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("window, loose", [(64, 4), (256, 0), (256, 32)])
+def test_loose_windows_are_packed_anew(window, loose):
+    """Every piece's tokens lie in one sequence once; what padding stays is within ``loose`` of a window, or none at a power of two."""
+    rng = random.Random(window + loose)
+    for _ in range(60):
+        lengths = [rng.randint(1, window) for _ in range(rng.randint(0, 60))]
+        pieces = [(doc, 0, n) for doc, n in enumerate(lengths)]
+        fitted = packing.best_fit(lengths, window)
+        sequences = packing.pack_pieces(pieces, window, loose)
+        held = {}
+        for sequence in sequences:
+            total = sum(n for _, _, n in sequence)
+            assert total <= window and (window - total <= loose or total & (total - 1) == 0)
+            for doc, start, n in sequence:
+                held.setdefault(doc, []).append((start, n))
+        for doc, n in enumerate(lengths):
+            at = 0
+            for start, part in sorted(held[doc]):
+                assert start == at and part > 0
+                at += part
+            assert at == n
+        tight = [g for g in fitted if window - sum(lengths[i] for i in g) <= loose or (t := sum(lengths[i] for i in g)) & (t - 1) == 0]
+        padding = sum(window - t for t in (sum(n for _, _, n in s) for s in sequences) if t & (t - 1))
+        assert padding <= loose * len(tight)  # only windows that best fit had filled keep padding
+
+
 def test_best_fit_equals_a_plain_search():
     rng = random.Random(7)
     for _ in range(30):
