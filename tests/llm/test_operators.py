@@ -316,6 +316,29 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix_documents(nothing).count() == 0 and mixing.mixed_rows(nothing).count() == 0
 
 
+def test_shards_hold_whole_blocks_and_exact_quotas(spark):
+    """Blocks recomputed in plain Python: each draw of a block goes to one shard whole, passes draw every block once, shards get equal numbers of draws."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), f"s{i % 3}" if i % 7 else None) for i in range(900)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    n = Counter(r.source for r in got)
+    where, words = {}, Counter()
+    for r in got:
+        block = int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:15], 16) % math.ceil(math.sqrt(n[r.source]))
+        assert len({d.epoch for d in r.draws}) == len(r.draws)
+        for d in r.draws:
+            where.setdefault((r.source, block, d.epoch), set()).add(d.shard)
+            words[r.source, d.epoch] += d.words
+    assert all(len(shards) == 1 for shards in where.values())
+    quotas = Counter(next(iter(x)) for x in where.values())
+    assert set(quotas.values()) <= {len(where) // 64, -(-len(where) // 64)} and sum(quotas.values()) == len(where)
+    for r in got:
+        passes = int(round(r.target) // r.source_size)
+        for epoch in range(passes):
+            assert words[r.source, epoch] == r.source_size  # a whole pass
+        assert words[r.source, passes] == round(r.target) - passes * r.source_size
+
+
 def test_splitting_tree_is_exact_and_fair(spark):
     quotas = spark.createDataFrame([(0, 700), (1, 200), (2, 101)], "rank int, draws long")
     got = mixing.splitting_tree(quotas, 4, "s").toPandas()
