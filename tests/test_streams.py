@@ -138,6 +138,15 @@ def remembered(query):
     return [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]][-1][0]["numRowsTotal"]
 
 
+def test_messages_hold_the_orders_and_keep_an_objects_in_one_partition(spark):
+    """What a topic would get: keys by object, values that read back as the orders."""
+    rows = [order(i, i, bucket=f"b{i % 2}", name=None if i % 5 == 0 else f"n{i % 3}", target=None if i % 2 else "site1") for i in range(30)]
+    messages = s.as_messages(spark.createDataFrame(rows, FORM))
+    assert {r.key for r in messages.collect()} == {f"{r[5]}/{r[6] or ''}" for r in rows}
+    back = messages.select(F.from_json("value", FORM, {"timestampNTZFormat": s.TIME}).alias("o")).select("o.*")
+    assert {tuple(r) for r in back.collect()} == set(rows)
+
+
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     write = s.batch_writer(f"{tmp_path}/out")
     rows = spark.createDataFrame([order(i, i) for i in range(9)], FORM)
