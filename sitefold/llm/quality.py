@@ -31,7 +31,7 @@ def _features(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]],
     pair = (mixed(w.hash[:-1] * np.uint64(3) + w.hash[1:]) >> shift).astype(np.int64) + (1 << BITS)
     b = w.buf.astype(np.uint64)
     three = ((b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64) + (2 << BITS)
-    return [(one, w.first), (pair, np.minimum(w.first, len(pair))), (three, np.minimum(w.at, len(three)))], w
+    return [(one, w.first), (pair, w.first), (three, w.at)], w
 
 
 def _ends(first: np.ndarray, lost: int) -> np.ndarray:
@@ -42,9 +42,10 @@ def _ends(first: np.ndarray, lost: int) -> np.ndarray:
 def _scores(features, weights: np.ndarray) -> np.ndarray:
     z = 0.0
     for (index, first), lost in zip(features, (0, 1, 2), strict=True):
-        sums = np.concatenate([[0.0], np.cumsum(weights[index])])
-        end = np.minimum(_ends(first, lost), len(index))
-        z = z + SCALE * (sums[end] - sums[np.minimum(first[:-1], len(index))]) / np.maximum(1, end - first[:-1])
+        sums = np.concatenate([[0.0], np.cumsum(weights[index], dtype=np.float64)])
+        start = np.minimum(first[:-1], len(index))
+        end = np.maximum(start, np.minimum(_ends(first, lost), len(index)))
+        z = z + SCALE * (sums[end] - sums[start]) / np.maximum(1, end - start)
     return z
 
 

@@ -753,6 +753,34 @@ def test_quality(spark, docs, rows, nothing):
     assert quality.quality_rules(nothing, model).count() == 0
 
 
+def test_quality_verdicts_equal_a_plain_evaluator(docs, rows):
+    """Each text alone, n-gram by n-gram, with a model of random weights."""
+    from sitefold.llm.textvec import words
+
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.standard_normal(3 << quality.BITS).astype(np.float32) * 0.05, 0.2, 1.3, -0.1)
+    mask, golden = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def score(text):
+        h = [int(x) for x in words([text]).hash]
+        pairs = [int(quality.mixed(np.array([(a * 3 + b) & mask], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        line = text + b"\n"  # a text's last characters are told from others by its end
+        threes = [(int.from_bytes(line[i : i + 3], "little") * golden) & mask for i in range(len(line) - 2)]
+        z = model.intercept
+        for k, grams in enumerate((h, pairs, threes)):
+            found = [float(model.weights[(g >> 64 - quality.BITS) + (k << quality.BITS)]) for g in grams]
+            z += 100.0 * sum(found) / max(1, len(found))
+        return 1 / (1 + math.exp(-(model.slope * z + model.offset)))
+
+    number = lambda i: -1 if i is None else i
+    want = sorted((number(r[0]), score((r[1] or "").encode())) for r in rows)
+    got = quality.quality_rules(docs.select("doc_id", "text"), model).collect()
+    have = sorted((number(r.doc_id), r.score) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want]
+    assert all(a == pytest.approx(b, abs=1e-9) for (_, a), (_, b) in zip(have, want, strict=True))
+    assert all(r.kept == (not r.base_failed and r.score >= 0.5) for r in got) and len({r.kept for r in got}) == 2
+
+
 def test_quality_is_learned(spark):
     rng, rows = random.Random(3), []
     for i in range(400):
