@@ -1,62 +1,16 @@
-"""Pairs that near-duplicate detection compares in a hot group, and toxicity scores by brute force."""
+"""Toxicity scores against brute force, for a given model."""
 
+import math
 import random
+import re
 
-import numpy as np
 import pytest
 
-from sitefold.llm import minhash
-
-
-def group(n, edits, seed=1):
-    """Texts of 300 words, each with other words at a few places of its own."""
-    rng = random.Random(seed)
-    base = [f"w{i}" for i in range(300)]
-    for i in range(n):
-        words = list(base)
-        for k in rng.sample(range(300), edits):
-            words[k] = f"x{rng.random()}"
-        yield i, " ".join(words)
-
-
-@pytest.fixture()
-def compared(monkeypatch):
-    """Pairs of texts that were compared; every run is taken to be rare, as in a group that a large corpus hides."""
-    counts = []
-    verified = minhash.verified
-
-    def counted(pairs, *rest):
-        counts.append(pairs.count())
-        return verified(pairs, *rest)
-
-    monkeypatch.setattr(minhash, "verified", counted)
-    monkeypatch.setattr(minhash, "document_frequencies", lambda docs: minhash.Idf(10**9, np.zeros(0, np.uint64), np.zeros(0)))
-    return counts
-
-
-def test_pairs_grow_with_a_hot_group_at_the_threshold_and_not_with_its_square(spark, compared):
-    work = {}
-    for n in (400, 1200):
-        compared.clear()
-        found = minhash.near_duplicates(spark.createDataFrame(group(n, 4), "doc_id long, text string").repartition(4)).toPandas()
-        work[n] = sum(compared)
-        assert found.component_id.nunique() == 1
-    assert work[1200] <= 3.5 * work[400] and work[1200] < 0.1 * 1200 * 1199 / 2
-
-
-def test_lighter_texts_are_not_compared_with_far_heavier_ones(spark, compared):
-    rows = [(i, " ".join(f"w{k}" for k in range(60)) + " " + " ".join(f"y{i}-{k}" for k in range(900 if i % 2 else 3))) for i in range(60)]
-    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    assert found.component_id.nunique() == 31 and sum(compared) < 200
+from sitefold.llm import toxicity
 
 
 def test_toxicity_scores_equal_brute_force(spark):
     """Every word against every term by edit distance, every hit's context, the features and the logistic function, all in plain Python."""
-    import math
-    import re
-
-    from sitefold.llm import toxicity
-
     terms = [toxicity.Term(*t) for t in (("idiot", True, 2.0), ("worthless", True, 1.5), ("scum", True, 1.1), ("patheti", False, 1.3), ("scu", True, 0.2), ("path", False, 0.7))]
     innocent = frozenset({"idiom", "worthies"})
     model = toxicity.Model(terms, innocent, [1.1, 0.3, 0.9, 0.4], -2.5)
