@@ -48,7 +48,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     small_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes ``staged`` tables that no plan still to run reads: what was made of them is staged itself."""
+    for table in tables:
+        if path := getattr(table, "staged_at", None):
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -70,12 +81,12 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, limit: int = 60, tidy: bool = False) -> DataFrame:
     """``edges`` has long columns a and b. Returns (id, component): the smallest id of each component.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every round is two
     partial aggregations and two equi-joins, and a star of any size needs no task of its own. Ids
-    without an edge to another id are left out.
+    without an edge to another id are left out. ``tidy`` deletes each round's tables after the next.
     """
     now = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -86,13 +97,17 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if ends.groupBy("id").agg(F.sum("below").alias("n"), F.max("above").alias("above")).where("n > 1 or n + above > 1").isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        old, least = now, staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large.where("u <> v"), "large")
+        if tidy:
+            dropped(old, least)
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         now = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        if tidy:
+            dropped(large, least)
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
