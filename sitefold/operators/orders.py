@@ -166,7 +166,7 @@ def time_range(orders: DataFrame, ranges: int = RANGES) -> Column:
 
 
 def fold_ranges(orders: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """Orders of each object and part of the time line as one transition: n, errors, first, last, created.
+    """Orders of each object and part of the time line as one transition: n, errors, first, last, created, until.
 
     Between orders an object rests READY or not, so an order's outcome hangs on the one before it alone:
     CREATE after CREATE and DELETE after DELETE fail. A transition therefore is its first and last action
@@ -182,6 +182,7 @@ def fold_ranges(orders: DataFrame, ranges: int = RANGES) -> DataFrame:
         F.min_by("action", place).alias("first"),
         F.max_by("action", place).alias("last"),
         F.bool_or(F.col("action") == "CREATE").alias("created"),
+        F.max(place).alias("until"),
     )
 
 
@@ -195,9 +196,22 @@ def compose_ranges(transitions: DataFrame) -> DataFrame:
         F.min_by("first", "range").alias("first"),
         F.max_by("last", "range").alias("last"),
         F.bool_or("created").alias("created"),
+        F.max("until").alias("until"),
     )
 
 
+def settled(start: Column) -> tuple[Column, Column]:
+    """(final status, errors) of a transition from a status."""
+    stuck = F.coalesce(~start.isin("READY", "DELETED"), F.lit(False))
+    refused = (F.col("first") == "CREATE") == F.coalesce(start == "READY", F.lit(False))
+    final = (
+        F.when(stuck, start)
+        .when(F.col("last") == "CREATE", "READY")
+        .when(start.isNotNull() | F.col("created"), "DELETED")
+    )
+    return final, F.when(stuck, F.col("n")).otherwise(F.col("errors") + refused.cast("long"))
+
+
 def fold_orders(orders: DataFrame, objects: DataFrame, ranges: int = RANGES) -> DataFrame:
     """Orders on objects of open buckets, in order of arrival: bucket_name, object_name, final_status (null: absent), errors.
 
@@ -206,15 +220,7 @@ def fold_orders(orders: DataFrame, objects: DataFrame, ranges: int = RANGES) ->
     object before the catalog is joined, which then meets as many rows as objects.
     """
     rows = _with_object(compose_ranges(fold_ranges(orders, ranges)), objects)
-    start = F.col("status")
-    stuck = F.coalesce(~start.isin("READY", "DELETED"), F.lit(False))
-    refused = (F.col("first") == "CREATE") == F.coalesce(start == "READY", F.lit(False))
-    final = (
-        F.when(stuck, start)
-        .when(F.col("last") == "CREATE", "READY")
-        .when(start.isNotNull() | F.col("created"), "DELETED")
-    )
-    errors = F.when(stuck, F.col("n")).otherwise(F.col("errors") + refused.cast("long"))
+    final, errors = settled(F.col("status"))
     return rows.select(*OBJECT, final.alias("final_status"), errors.alias("errors"))
 
 

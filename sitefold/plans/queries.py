@@ -705,10 +705,10 @@ def _(t):
     """From the catalog's states: the same as ``fold_orders``, in two runs."""
     from ..streaming import orders as s
 
-    with rocksdb(t.spark):
-        rows = _streamed(t, lambda rows: s.apply_stream(rows, t.f_targets), "update")
-    last = rows.groupBy("bucket_name", "object_name").agg(F.max_by(F.struct("final_status", "errors"), "batch").alias("s"))
-    return last.select("bucket_name", "object_name", "s.final_status", "s.errors")
+    base = f"{_shared(t.spark)}/apply-{uuid4().hex}"
+    for _ in arriving(t, base):
+        s.run_once(s.read_files(t.spark, f"{base}/in"), s.apply_writer(t.spark, f"{base}/out", t.f_targets), f"{base}/checkpoint")
+    return s.latest_states(t.spark.read.parquet(f"{base}/out/states"))
 
 
 @query("stream_dedup", "SELECT DISTINCT from_site, to_site, client_id, bucket_name, object_name, action FROM {f_orders}")
