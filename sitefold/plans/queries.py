@@ -472,17 +472,14 @@ query("reconcile_central", _ACT.replace("o_actions", "o_central"))(lambda t: sho
 def _(t):
     """Listings of sites as they arrive, a run of the stream for each: the actions that stand in the end."""
     from ..streaming import central as s
+    from ..streaming.orders import run_once
 
     base = f"{_shared(t.spark)}/central-{uuid4().hex}"
-    form = "name string, site string, round long, event timestamp_ntz, nstatus int"
-    with rocksdb(t.spark):
-        for number, listing in enumerate((t.f_old_listing, t.f_new_listing)):
-            rows = listing.select("name", "site", F.lit(number).cast("long").alias("round"), F.col("event").cast("timestamp_ntz").alias("event"), "nstatus")
-            rows.write.mode("append").parquet(f"{base}/in")
-            arrived = t.spark.readStream.schema(form).parquet(f"{base}/in")
-            writer = s.states_stream(arrived).writeStream.outputMode("update").foreachBatch(s.actions_writer(f"{base}/out", SITES))
-            writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return shown(s.latest_actions(t.spark.read.parquet(f"{base}/out")))
+    for number, listing in enumerate((t.f_old_listing, t.f_new_listing)):
+        rows = listing.select("name", "site", F.lit(number).cast("long").alias("round"), F.col("event").cast("timestamp_ntz").alias("event"), "nstatus")
+        rows.write.mode("append").parquet(f"{base}/in")
+        run_once(t.spark.readStream.schema(s.LISTED).parquet(f"{base}/in"), s.tables_writer(t.spark, f"{base}/out", SITES), f"{base}/checkpoint")
+    return shown(s.latest_actions(t.spark.read.parquet(f"{base}/out/actions")))
 
 
 query("reconcile_central_actions", "SELECT need_action, count(*) AS n FROM {o_central} GROUP BY 1")(

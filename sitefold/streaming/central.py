@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -54,7 +54,8 @@ class SiteStates(StatefulProcessor):
 def states_stream(listings: DataFrame) -> DataFrame:
     """For objects whose states change: all their states before (now = false) and after, for output mode update.
 
-    ``listings``: name, site, round, event, nstatus. Needs the RocksDB state store.
+    ``listings``: name, site, round, event, nstatus. Needs the RocksDB state store. One call of Python for
+    each object of a batch: for small batches of many; ``tables_writer`` takes large ones.
     """
     micros = F.coalesce(zoneless_micros(F.col("event").cast("timestamp_ntz")), F.lit(NEVER))
     rows = listings.select("name", "site", F.col("round").cast("long").alias("round"), micros.alias("micros"), F.col("nstatus").cast("int").alias("nstatus"))
@@ -79,6 +80,40 @@ def actions_writer(path: str, sites: Sequence[str]) -> Callable[[DataFrame, int]
     return write
 
 
+LISTED = "name string, site string, round long, event timestamp_ntz, nstatus int"
+
+
+def tables_writer(spark: SparkSession, path: str, sites: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that takes the listings themselves (name, site, round, event, nstatus) and keeps states in tables.
+
+    The rules are those of ``SiteStates``, as joins and aggregations in ``spark``. ``states/batch=n`` gets the
+    states that batch n changes, ``actions/batch=n`` the actions that it changes. What was known before is
+    the greatest state of each site in the folders of earlier batches, so a batch that is run again replaces
+    its own and changes nothing else. Each batch reads all states of before: for large batches.
+    """
+    key, values = ["name", "site"], ["round", "event", "minus"]
+    told = lambda rows: rows.withColumn("minus", -F.col("nstatus")).groupBy(*key).agg(F.max(F.struct(*values)).alias("s"))
+    plain = lambda rows: rows.select(*key, "s.round", "s.event", (-F.col("s.minus")).cast("int").alias("nstatus"))
+
+    def write(listings: DataFrame, batch: int) -> None:
+        form = [F.col(c).cast(t).alias(c) for c, t in (x.split() for x in LISTED.split(", "))]
+        listings.select(*form).write.mode("overwrite").parquet(f"{path}/arrived")
+        arrived = told(spark.read.schema(LISTED).parquet(f"{path}/arrived"))
+        known = told(spark.createDataFrame([], LISTED))
+        if batch:
+            log = spark.read.schema(f"{LISTED}, batch long").parquet(f"{path}/states").where(F.col("batch") < batch)
+            known = told(log)
+        newer = arrived.join(known.withColumnRenamed("s", "was"), key, "left").where("was is null or s > was")
+        plain(newer).write.mode("overwrite").parquet(f"{path}/states/batch={batch}")
+        changed = spark.read.schema(LISTED).parquet(f"{path}/states/batch={batch}")
+        before = plain(known).join(changed.select("name").distinct(), "name", "left_semi")
+        after = plain(told(before.unionByName(changed)))
+        states = before.withColumn("now", F.lit(False)).unionByName(after.withColumn("now", F.lit(True)))
+        changed_actions(states, sites).write.mode("overwrite").parquet(f"{path}/actions/batch={batch}")
+
+    return write
+
+
 def latest_actions(changes: DataFrame) -> DataFrame:
     """The actions that stand after all batches. ``changes``: what ``actions_writer`` has written."""
     values = [c for c in changes.columns if c not in ("name", "batch")]
