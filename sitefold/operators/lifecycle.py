@@ -25,9 +25,14 @@ def _expired(now: datetime, site: str, status: str) -> Column:
 
 
 def _of_client(objects: DataFrame, buckets: DataFrame, client: str, site: str) -> DataFrame:
-    """Objects with ``mine``: whether the client owns their bucket at the site."""
+    """Objects with ``mine``: whether the client owns their bucket at the site.
+
+    One client's bucket names at one site are broadcast, which is explicit as a table of buckets may be
+    derived from the objects, whose size the planner then takes for its own. A shuffle by bucket would
+    put a bucket's objects into one task.
+    """
     own = buckets.where((F.col("client_id") == client) & (F.col("site") == site)).select(F.col("id").alias("bucket"), F.lit(True).alias("mine")).distinct()
-    return objects.join(own, "bucket", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+    return objects.join(F.broadcast(own), "bucket", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
 
 
 def purge_deleted(objects: DataFrame, buckets: DataFrame, listing: DataFrame, client: str, site: str, now: datetime) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Known small cases, and the action rules against a plain evaluator on random states."""
 
 import random
+import re
 import unicodedata
 from datetime import datetime, timedelta
 from urllib.parse import unquote_plus
@@ -116,6 +117,19 @@ def test_purge(spark, archive, left):
         assert told["metadata"]["archived_from_bucket"] == "b" and told["expires"] == T0 + timedelta(seconds=60)
 
 
+def test_no_task_of_a_purge_gets_a_whole_bucket(spark):
+    """A client's buckets are few, whatever size the planner takes their table for."""
+    objects = spark.range(50).selectExpr("'a' AS site", "concat('b', id % 3) AS bucket", "concat('n', id) AS name", "'READY' AS status", "CAST(NULL AS timestamp_ntz) AS creation", "CAST(NULL AS timestamp_ntz) AS expires", "id AS size", "'h' AS hash")
+    buckets = objects.selectExpr("bucket AS id", "'me' AS client_id", "site").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (lifecycle.purge_deleted(objects, buckets, objects, "me", "a", T0)[0], lifecycle.expire_ready(objects, buckets, "me", "a", T0), lifecycle.purge_run(objects, buckets, objects, "me", "a", T0, "old"), lifecycle.purge_orders(objects, buckets, "me", "a", T0)):
+            assert not re.search(r"SortMergeJoin \[bucket#\d+\]", out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rights_table(spark):
     pairs = rights.all_pairs_of_rights(spark.createDataFrame([(c,) for c in range(8)], "code int")).collect()
     assert len(pairs) == 64
