@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, connected_components, has_bits, staged, text_of
@@ -245,24 +245,68 @@ def _linked(docs: DataFrame, members: DataFrame, idf: Idf, least: float) -> Data
     if not across.isEmpty():
         near = staged(connected_components(check(across).unionByName(edges(near))), "near")
     # Buckets that still hold several classes.
-    links = edges(near)
+    links, dealt = edges(near), None
     now = staged(_classed(members.select("id", "bucket"), near, "id").withColumnRenamed("class_id", "class"), "classed")
     for level in range(LEVELS + 1):
         sizes = now.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
         several = sizes.where("n * n > same").select("bucket", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW * F.col("n")).alias("large"))
         now = staged(now.join(staged(several, "several"), "bucket"), "across")
-        large = F.col("large") if level < LEVELS else F.lit(False)
-        left, right = (now.where(~large).select("bucket", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
+        left, right = (now.where("not large").select("bucket", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
         pairs = staged(left.join(right, "bucket").where("a < b and class_a <> class_b").select("a", "b").distinct(), "pairs")
         links = links.unionByName(check(pairs))
-        rest = now.where(large).select("bucket", "id", "class")
+        rest = now.where("large").select("bucket", "id", "class")
         if rest.isEmpty():
             break
+        if dealt is None:
+            dealt = rest.select("bucket", "id")
+        if level == LEVELS:
+            break
         again = texts.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
         more = staged(signatures(again, idf, skip=BANDS * (level + 1)).select(F.col("doc_id").alias("id"), "bands"), "bands")
         chosen = F.explode(F.array(*(F.get("bands", F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(BANDS)).cast("int")) for k in range(FURTHER)))).alias("band")
         now = staged(rest.join(more, "id").select("id", "class", "bucket", chosen).select("id", F.xxhash64("bucket", "band").alias("bucket"), "class").distinct(), "dealt")
-    return connected_components(links)
+    if dealt is None:
+        return connected_components(links)
+    # Dealing out misses some links: the exact way, for what is not in one class by now.
+    near = staged(connected_components(links), "near")
+    now = _classed(dealt, near, "id").withColumnRenamed("class_id", "class")
+    mixed_ = now.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last").select("bucket")
+    rest = staged(now.join(staged(mixed_, "mixed"), "bucket").select("id", "class").distinct(), "rest")
+    if rest.isEmpty():
+        return near
+    pairs = staged(_alike(texts.join(rest.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), rest, idf, least), "pairs")
+    return connected_components(edges(near).unionByName(check(pairs)))
+
+
+def _alike(texts: DataFrame, classes: DataFrame, idf: Idf, least: float) -> DataFrame:
+    """(a, b) across ``classes`` (id, class) that hold all pairs of the similarity: a prefix filter, exact for weighted Jaccard.
+
+    Shingles are ordered by how few of these texts have them. A pair of weights x <= y that reaches s shares
+    at least 2 s / (1 + s) x and s y; so it shares a shingle within the first part of each text that leaves
+    less than that behind, and x >= s y. After the first shared shingle the shared weight is at most the
+    lesser of what the texts have from there on. A text gives a row for each shingle of its first fifth.
+    """
+
+    def runs(batches):
+        for batch, found in _texts(batches):
+            text, h, count, _ = _runs(found)
+            ids = batch.column("doc_id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(h.astype(np.int64)), pa.array(count * idf.of(h))], names=["id", "h", "w"])
+
+    rows = staged(texts.mapInArrow(runs, "id long, h long, w double"), "runs")
+    often = staged(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")  # a shingle of one text comes first and joins with none
+    text = Window.partitionBy("id").orderBy("df", "h")
+    tied = rows.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    total = F.sum("w").over(Window.partitionBy("id"))
+    rest = tied.select("id", "h", "df", total.alias("total"), (total - F.coalesce(F.sum("w").over(text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("from_"))
+    near = 1 - 1e-9
+    first = staged(rest.where((F.col("df") > 1) & (F.col("from_") >= least * near * F.col("total"))).join(classes, "id"), "first")
+    x, y = (first.select("h", F.col("id").alias(c), F.col("class").alias(f"class_{c}"), F.col("total").alias(f"total_{c}"), F.col("from_").alias(f"from_{c}")) for c in "xy")
+    x = x.where(F.col("from_x") >= 2 * least / (1 + least) * near * F.col("total_x"))
+    lesser = (F.col("total_x") < F.col("total_y")) | ((F.col("total_x") == F.col("total_y")) & (F.col("x") < F.col("y")))
+    shared = F.least("from_x", "from_y") >= least / (1 + least) * near * (F.col("total_x") + F.col("total_y"))
+    found = x.join(y, "h").where(lesser & (F.col("class_x") != F.col("class_y")) & (F.col("total_x") >= least * near * F.col("total_y")) & shared)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -567,6 +567,55 @@ def test_near_duplicates_in_large_mixed_buckets(spark, monkeypatch):
     assert sum(found[i] == root[i] for i in range(n)) >= 0.99 * n
 
 
+def continuum(seed, n=120):
+    """Texts with up to six edits of one text, and the class of each by all links."""
+    rng = random.Random(seed)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(60)], []
+    for _ in range(n):
+        now = list(base)
+        for _ in range(rng.randrange(7)):
+            now[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(now))
+    sets = [shingles(t) for t in texts]
+    df = Counter(k for s in sets for k in s)
+    weight = [{k: c * math.log1p(min(n / df[k], 256)) for k, c in s.items()} for s in sets]
+    root, links = list(range(n)), set()
+    for i in range(n):
+        for j in range(i):
+            both = sum(min(v, weight[j].get(k, 0)) for k, v in weight[i].items())
+            if both >= 0.8 * (sum(weight[i].values()) + sum(weight[j].values()) - both):
+                links.add((j, i))
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return texts, root, links
+
+
+def test_no_link_of_a_large_bucket_hangs_on_further_samples(spark, monkeypatch):
+    """Pairs of texts around one passage, which fills buckets with all of them; further samples never meet."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    texts = []
+    for _ in range(40):
+        own = [word() for _ in range(20)]
+        texts += [" ".join([*passage, *own, *(word() for _ in range(4))]) for _ in range(2)]
+    real = minhash.signatures
+    unlucky = lambda docs, idf, skip=0: real(docs, idf, skip).withColumn("bands", F.transform("bands", lambda b: F.xxhash64(b, "doc_id"))) if skip else real(docs, idf)
+    for name, value in {"FEW": 0, "LEVELS": 1, "BANDS": 6, "ROWS": 1, "FLOOR": 1, "signatures": unlucky}.items():
+        monkeypatch.setattr(minhash, name, value)
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def test_the_exact_way_offers_every_link(spark):
+    texts, _, links = continuum(6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = minhash.document_frequencies(docs)
+    own = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class"))
+    offered = {tuple(r) for r in minhash._alike(docs, own, idf, 0.8).collect()}
+    assert len(links) > 40 and links <= offered and len(offered) < len(texts) * (len(texts) - 1) / 4
+
+
 def test_samples_collide_as_often_as_texts_are_alike():
     rng = np.random.default_rng(8)
     h = rng.integers(1, 1 << 44, 300, np.uint64)
