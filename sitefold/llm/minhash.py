@@ -13,9 +13,10 @@ leads a bucket of its own; then with the leaders of its other buckets; so a grou
 about n comparisons. A bucket that still holds several classes is compared across classes pair by pair
 if that makes few pairs for each of its documents. Otherwise it is dealt out by 3 further bands of new
 samples, other ones for each bucket (a pair of 0.8 shares 6 buckets, so 19 trials of probability 0.26),
-and again, until that holds, or after ``LEVELS`` times in any case. Every link is verified by the exact
-weighted Jaccard similarity. In a hot group near the threshold pairs still grow faster than documents, as
-classes are those from before the buckets were dealt out.
+and again, until that holds or ``LEVELS`` times. What samples miss there is found exactly: texts of such
+buckets that are not all in one class by then are joined across classes by a prefix filter. Every link is
+verified by the exact weighted Jaccard similarity. In a hot group near the threshold pairs still grow
+faster than documents, as classes are those from before the buckets were dealt out.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 6
 FLOOR = 256  # df counts from N / FLOOR on
 FEW = 8  # pairs across classes for each document of a bucket that is compared pair by pair
-FURTHER, LEVELS = 3, 9  # bands that deal a large bucket out, and how often; what then shares 60 samples is compared in any case
+FURTHER, LEVELS = 3, 9  # bands that deal a large bucket out, and how often; the exact way follows
 BUCKETS, BLOCK = 1 << 20, 1 << 14
 _KEY = np.uint64((1 << 44) - 1)
 
