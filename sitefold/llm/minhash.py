@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, connected_components, has_bits, staged, text_of
@@ -85,8 +85,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> Idf:
-    """Counts over all documents: first by hash bucket, then exactly where a bucket is frequent."""
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """How many distinct shingles of texts fall in each hash bucket: ``BUCKETS`` numbers, however many texts there are."""
 
     def count(batches):
         sums = np.zeros(BUCKETS, np.int32)
@@ -100,14 +100,20 @@ def document_frequencies(docs: DataFrame) -> Idf:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in frame.sums)
         return frame.iloc[:1].assign(sums=[zlib.compress(total.tobytes(), 1)])
 
-    n = docs.count()
-    limit = n / FLOOR
     form = "block int, part int, sums binary"
     sums = docs.mapInArrow(count, form).groupBy("block", "part").applyInPandas(added, form).groupBy("block").applyInPandas(added, form)
-    frequent = np.zeros(BUCKETS, bool)
+    out = np.zeros(BUCKETS, np.int64)
     for block in sums.select("block", "sums").collect():  # BUCKETS numbers in all, compressed
         at = block["block"] * BLOCK
-        frequent[at : at + BLOCK] = np.frombuffer(zlib.decompress(block["sums"]), np.int64) > limit
+        out[at : at + BLOCK] = np.frombuffer(zlib.decompress(block["sums"]), np.int64)
+    return out
+
+
+def document_frequencies(docs: DataFrame) -> Idf:
+    """Counts over all documents: first by hash bucket, then exactly where a bucket is frequent."""
+    n = docs.count()
+    limit = n / FLOOR
+    frequent = bucket_counts(docs) > limit
     packed = np.packbits(frequent)
 
     def exact(batches):
@@ -252,8 +258,10 @@ def _linked(docs: DataFrame, members: DataFrame, idf: Idf, least: float) -> Data
         sizes = now.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
         several = sizes.where("n * n > same").select("bucket", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW * F.col("n")).alias("large"))
         now = staged(now.join(staged(several, "several"), "bucket"), "across")
-        left, right = (now.where("not large").select("bucket", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
-        pairs = staged(left.join(right, "bucket").where("a < b and class_a <> class_b").select("a", "b").distinct(), "pairs")
+        few = now.where("not large")
+        left, right = (rows.select("bucket", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for rows, c in ((_outside(few, "bucket"), "x"), (few, "y")))
+        apart = left.join(right, "bucket").where("class_x <> class_y")
+        pairs = staged(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         links = links.unionByName(check(pairs))
         rest = now.where("large").select("bucket", "id", "class")
         if rest.isEmpty():
@@ -279,35 +287,47 @@ def _linked(docs: DataFrame, members: DataFrame, idf: Idf, least: float) -> Data
     return connected_components(edges(near).unionByName(check(pairs)))
 
 
+def _outside(rows: DataFrame, key: str) -> DataFrame:
+    """The rows that are not in the largest class of their key: of a pair across classes at least one is such a row."""
+    sizes = rows.groupBy(key, "class").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy(key).agg(F.max(F.struct("k", "class"))["class"].alias("largest"))
+    return rows.join(largest, key).where("class <> largest").drop("largest")
+
+
 def _alike(texts: DataFrame, classes: DataFrame, idf: Idf, least: float) -> DataFrame:
     """(a, b) across ``classes`` (id, class) that hold all pairs of the similarity: a prefix filter, exact for weighted Jaccard.
 
-    Shingles are ordered by how few of these texts have them. A pair of weights x <= y that reaches s shares
-    at least 2 s / (1 + s) x and s y; so it shares a shingle within the first part of each text that leaves
-    less than that behind, and x >= s y. After the first shared shingle the shared weight is at most the
-    lesser of what the texts have from there on. A text gives a row for each shingle of its first fifth.
+    Shingles are ordered by how few of these texts' shingles share their bucket. A pair of weights x <= y that
+    reaches s shares at least 2 s / (1 + s) x and s y; so it shares a shingle within the first part of each text
+    that leaves less than that behind, and x >= s y. After the first shared shingle the shared weight is at most
+    the lesser of what the texts have from there on. Any order would do, so one by counts of a fixed size does:
+    a text is put in order where it is read, and gives a row for each shingle of its first fifth only.
     """
+    counts = bucket_counts(texts)
+    levels = texts.sparkSession.sparkContext.broadcast(np.ceil(8 * np.log2(np.maximum(counts, 1))).astype(np.uint8))
+    near = 1 - 1e-6
 
-    def runs(batches):
+    def start(batches):
         for batch, found in _texts(batches):
             text, h, count, _ = _runs(found)
-            ids = batch.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(h.astype(np.int64)), pa.array(count * idf.of(h))], names=["id", "h", "w"])
-
-    rows = staged(texts.mapInArrow(runs, "id long, h long, w double"), "runs")
-    often = staged(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")  # a shingle of one text comes first and joins with none
-    text = Window.partitionBy("id").orderBy("df", "h")
-    tied = rows.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    total = F.sum("w").over(Window.partitionBy("id"))
-    rest = tied.select("id", "h", "df", total.alias("total"), (total - F.coalesce(F.sum("w").over(text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("from_"))
-    near = 1 - 1e-9
-    first = staged(rest.where((F.col("df") > 1) & (F.col("from_") >= least * near * F.col("total"))).join(classes, "id"), "first")
-    x, y = (first.select("h", F.col("id").alias(c), F.col("class").alias(f"class_{c}"), F.col("total").alias(f"total_{c}"), F.col("from_").alias(f"from_{c}")) for c in "xy")
-    x = x.where(F.col("from_x") >= 2 * least / (1 + least) * near * F.col("total_x"))
-    lesser = (F.col("total_x") < F.col("total_y")) | ((F.col("total_x") == F.col("total_y")) & (F.col("x") < F.col("y")))
-    shared = F.least("from_x", "from_y") >= least / (1 + least) * near * (F.col("total_x") + F.col("total_y"))
-    found = x.join(y, "h").where(lesser & (F.col("class_x") != F.col("class_y")) & (F.col("total_x") >= least * near * F.col("total_y")) & shared)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            weight, level = count * idf.of(h), levels.value[_bucket(h)]
+            order = np.lexsort((h, level, text))
+            h, weight, level = h[order], weight[order], level[order]
+            total = np.bincount(text, weight, len(found))
+            before = np.concatenate([[0], np.cumsum(weight)])
+            left = total[text] - (before[:-1] - before[np.searchsorted(text, text)])
+            kept = np.flatnonzero((level > 0) & (left >= least * near * total[text]))  # a shingle of one text comes first and joins with none
+            ids = batch.column("doc_id").to_numpy()[text[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[kept].astype(np.int64)), pa.array(total[text[kept]]), pa.array(left[kept])], names=["id", "h", "total", "left"])
+
+    first = staged(texts.mapInArrow(start, "id long, h long, total double, left double").join(classes, "id"), "first")
+    names = lambda rows, c: rows.select("h", *(F.col(x).alias(f"{x}_{c}") for x in ("id", "class", "total", "left")))
+    x, y = names(_outside(first, "h"), "x"), names(first, "y")
+    lesser = F.least("total_x", "total_y")
+    shared = F.least("left_x", "left_y") >= least / (1 + least) * near * (F.col("total_x") + F.col("total_y"))
+    part = F.when(F.col("total_x") <= F.col("total_y"), F.col("left_x")).otherwise(F.col("left_y")) >= 2 * least / (1 + least) * near * lesser
+    found = x.join(y, "h").where((F.col("class_x") != F.col("class_y")) & (lesser >= least * near * F.greatest("total_x", "total_y")) & shared & part)
+    return found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -616,6 +616,35 @@ def test_the_exact_way_offers_every_link(spark):
     assert len(links) > 40 and links <= offered and len(offered) < len(texts) * (len(texts) - 1) / 4
 
 
+def test_the_exact_way_makes_no_row_for_each_shingle(spark, monkeypatch):
+    """Of one group, and of one three times as large, tables and pairs grow with the texts; a few texts are outside of its class."""
+    made, real = [], minhash.staged
+
+    def told(df, name):
+        out = real(df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "staged", told)
+    rows = []
+    for n in (100, 300):
+        texts, _, _ = continuum(9, n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        own = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") < 4, F.col("doc_id")).otherwise(4).alias("class"))
+        idf = minhash.Idf(n, np.zeros(0, np.uint64), np.zeros(0))
+        made.clear()
+        offered = minhash._alike(docs, own, idf, 0.8).count()
+        assert sum(made) + offered < 0.3 * sum(len(shingles(t)) for t in texts)
+        rows.append(sum(made) + offered)
+    assert rows[1] < 3.5 * rows[0]
+
+
+def test_pairs_across_classes_have_a_row_outside_of_the_largest(spark):
+    rows = [(1, i, 7) for i in range(50)] + [(1, 50, 8), (1, 51, 9)] + [(2, i, 7) for i in range(50)] + [(3, 1, 7), (3, 50, 8)]
+    left = minhash._outside(spark.createDataFrame(rows, "bucket long, id long, class long"), "bucket")
+    assert sorted(map(tuple, left.select("bucket", "id", "class").collect())) == [(1, 50, 8), (1, 51, 9), (3, 1, 7)]
+
+
 def test_samples_collide_as_often_as_texts_are_alike():
     rng = np.random.default_rng(8)
     h = rng.integers(1, 1 << 44, 300, np.uint64)
