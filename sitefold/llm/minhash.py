@@ -255,11 +255,11 @@ def _linked(docs: DataFrame, members: DataFrame, idf: Idf, least: float) -> Data
     links, dealt = edges(near), None
     now = staged(_classed(members.select("id", "bucket"), near, "id").withColumnRenamed("class_id", "class"), "classed")
     for level in range(LEVELS + 1):
-        sizes = now.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        several = sizes.where("n * n > same").select("bucket", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW * F.col("n")).alias("large"))
+        sizes = now.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "class"))["class"].alias("largest"))
+        several = sizes.where("n * n > same").select("bucket", "largest", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW * F.col("n")).alias("large"))
         now = staged(now.join(staged(several, "several"), "bucket"), "across")
-        few = now.where("not large")
-        left, right = (rows.select("bucket", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for rows, c in ((_outside(few, "bucket"), "x"), (few, "y")))
+        few = now.where("not large")  # of a pair across classes at least one is outside of the bucket's largest class
+        left, right = (rows.select("bucket", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for rows, c in ((few.where("class <> largest"), "x"), (few, "y")))
         apart = left.join(right, "bucket").where("class_x <> class_y")
         pairs = staged(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         links = links.unionByName(check(pairs))
@@ -291,7 +291,7 @@ def _outside(rows: DataFrame, key: str) -> DataFrame:
     """The rows that are not in the largest class of their key: of a pair across classes at least one is such a row."""
     sizes = rows.groupBy(key, "class").agg(F.count("*").alias("k"))
     largest = sizes.groupBy(key).agg(F.max(F.struct("k", "class"))["class"].alias("largest"))
-    return rows.join(largest, key).where("class <> largest").drop("largest")
+    return rows.join(staged(largest, "largest"), key).where("class <> largest").drop("largest")
 
 
 def _alike(texts: DataFrame, classes: DataFrame, idf: Idf, least: float) -> DataFrame:
@@ -322,7 +322,7 @@ def _alike(texts: DataFrame, classes: DataFrame, idf: Idf, least: float) -> Data
 
     first = staged(texts.mapInArrow(start, "id long, h long, total double, left double").join(classes, "id"), "first")
     names = lambda rows, c: rows.select("h", *(F.col(x).alias(f"{x}_{c}") for x in ("id", "class", "total", "left")))
-    x, y = names(_outside(first, "h"), "x"), names(first, "y")
+    x, y = names(staged(_outside(first, "h"), "outside"), "x"), names(first, "y")
     lesser = F.least("total_x", "total_y")
     shared = F.least("left_x", "left_y") >= least / (1 + least) * near * (F.col("total_x") + F.col("total_y"))
     part = F.when(F.col("total_x") <= F.col("total_y"), F.col("left_x")).otherwise(F.col("left_y")) >= 2 * least / (1 + least) * near * lesser
